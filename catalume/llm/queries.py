@@ -5,12 +5,17 @@ from __future__ import annotations
 import os
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from catalume.llm import bpe
+from catalume.llm import bpe, decontaminate, divergence, kdtree, lm_scoring, quality, quotes, separators, simhash, surrogates
 from catalume.llm.common import table
 
 #: Where the public vocabulary files lie.
 TOKENIZERS = os.environ.get("CATALUME_TOKENIZERS", "/opt/tokenizers")
+#: The free id after the last rank ends documents.
+END = 50256
+#: Keys surrogates; set your own.
+SECRET = os.environ.get("CATALUME_SURROGATE_KEY", "example key")
 
 
 def pattern() -> str:
@@ -27,5 +32,51 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_documents(table(spark, sf_dir, "documents"), ranks(), pattern(), ids=False, digests=True)
 
 
-QUERIES = {"op1_bpe": op1_bpe}
-SQL: dict[str, str] = {}
+def op2_divergence_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.divergence_rules(table(spark, sf_dir, "documents")).drop("class_distance", "word_distance")
+
+
+def op3_separator_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return separators.count_documents(table(spark, sf_dir, "documents"), ranks(), pattern(), separator=END)
+
+
+def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op6_kd_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    shards = kdtree.kd_shards(table(spark, sf_dir, "documents"), 16)
+    return shards.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+def op7_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return surrogates.pseudonymise(table(spark, sf_dir, "documents").select("doc_id", "text"), SECRET)
+
+
+def op8_quotation_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quotes.link_quotations(table(spark, sf_dir, "conversations"))
+
+
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scoring.score_documents(table(spark, sf_dir, "documents"), ranks(), pattern())
+
+
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (op1_bpe, op2_divergence_rules, op3_separator_scan, op4_quality_classifier, op5_simhash, op6_kd_sharding, op7_surrogates, op8_quotation_linking, op9_decontamination, op10_lm_scoring, pipeline)
+}
+SQL: dict[str, str] = {"op2_divergence_rules": divergence.rules_sql()}
