@@ -74,8 +74,12 @@ class Model:
         return total + sum(map(self.weights.__getitem__, out))
 
 
-def fit(rows: list[tuple[np.ndarray, np.ndarray, int]], *, least: int = 20, penalty: float = 1e-3, rounds: int = 250) -> Model:
-    """Fit on (word keys, shape, good): words of at least ``least`` rows count; Adam on all rows at once."""
+def fit(rows: list[tuple[np.ndarray, np.ndarray, int]], *, least: int = 10, clear: float = 6.0, penalty: float = 1e-4, rounds: int = 400) -> Model:
+    """Fit on (word keys, shape, good) with Adam on all rows at once.
+
+    Words count that at least ``least`` rows have, and whose shares of good and bad
+    rows differ by ``clear`` standard errors; the others would only add noise.
+    """
     y = np.array([r[2] for r in rows], float)
     if len(rows) == 0 or y.min() == y.max():
         prior = float(np.clip(y.mean() if len(rows) else 0.5, 1e-3, 1 - 1e-3))
@@ -83,7 +87,13 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray, int]], *, least: int = 20, pena
     flat = np.concatenate([r[0] for r in rows]).astype(np.int64)
     names, inverse, counts = np.unique(flat, return_inverse=True, return_counts=True)
     place = np.full(len(names), -1)
-    common = np.flatnonzero(counts >= least)
+    labels = np.repeat(y, [len(r[0]) for r in rows])
+    n_good = y.sum()
+    good = np.bincount(inverse, labels, len(names))
+    both = counts / len(y)
+    error = np.sqrt(both * (1 - both) * (1 / n_good + 1 / (len(y) - n_good))) + 1e-12
+    apart = np.abs(good / n_good - (counts - good) / (len(y) - n_good)) / error
+    common = np.flatnonzero((counts >= least) & (apart >= clear))
     place[common] = np.arange(len(common))
     col = place[inverse]
     row = np.repeat(np.arange(len(rows)), [len(r[0]) for r in rows])
