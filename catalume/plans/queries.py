@@ -41,10 +41,11 @@ scorable AS (SELECT lines.* FROM lines JOIN nodes USING (node_id) WHERE kind NOT
 def _scores(lines: str, where: str = "TRUE") -> str:
     """Pair scores by definition: the best over the other's lines, then the mean."""
     return f"""
-best AS (SELECT r1, r2, node1, max(score) AS score FROM (
-  SELECT x.recipe_id AS r1, y.recipe_id AS r2, x.node_id AS node1, y.node_id AS node2, CASE WHEN x.node_id = y.node_id THEN 1.0 ELSE 1.0 - pow(0.5::DOUBLE, max(c.depth) - 1) END AS score
-  FROM (SELECT DISTINCT recipe_id, node_id FROM {lines}) x JOIN closure c ON x.node_id = c.node_id JOIN closure e ON e.ancestor_id = c.ancestor_id
-  JOIN (SELECT DISTINCT recipe_id, node_id FROM {lines}) y ON y.node_id = e.node_id WHERE {where} GROUP BY x.recipe_id, y.recipe_id, x.node_id, y.node_id) GROUP BY 1, 2, 3),
+kept AS MATERIALIZED (SELECT DISTINCT recipe_id, node_id FROM {lines}),
+held AS MATERIALIZED (SELECT DISTINCT recipe_id AS r2, ancestor_id FROM kept JOIN closure USING (node_id)),
+best AS (SELECT r1, r2, node1, CASE WHEN k.node_id IS NOT NULL THEN 1.0 ELSE 1.0 - pow(0.5::DOUBLE, d - 1) END AS score FROM (
+  SELECT x.recipe_id AS r1, h.r2, x.node_id AS node1, max(c.depth) AS d FROM kept x JOIN closure c USING (node_id) JOIN held h USING (ancestor_id) WHERE {where} GROUP BY 1, 2, 3)
+  LEFT JOIN kept k ON k.recipe_id = r2 AND k.node_id = node1),
 sizes AS (SELECT recipe_id, count(*) AS n FROM {lines} GROUP BY 1),
 weights AS (SELECT recipe_id AS r1, node_id AS node1, count(*) AS n FROM {lines} GROUP BY 1, 2),
 directed AS (SELECT r1, r2, sum(b.score * w.n) / max(sizes.n) AS score FROM best b JOIN weights w USING (r1, node1) JOIN sizes ON sizes.recipe_id = r1 GROUP BY 1, 2),
