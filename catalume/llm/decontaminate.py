@@ -157,14 +157,16 @@ def _rare(docs: DataFrame, items, text: str, contexts_per_million: float, least:
 
         for batch in batches:
             for value in batch.column(0):
-                raw = value.as_py() or ""
-                ids = own.read(raw, cache)
-                n_words += len(ids)
-                at, seeds = own.hits(ids, own.seeds)
-                if len(at):
-                    w = normalised(raw)
-                    for p, s in zip(at.tolist(), seeds.tolist(), strict=True):
-                        met[s, zlib.crc32(f"{w[p - 1] if p else ''} {w[p + N] if p + N < len(w) else ''}".encode())] += 1
+                raw = (value.as_py() or "").split()
+                ids = np.array(list(map(cache.__getitem__, raw)), np.int64)
+                real = np.flatnonzero(ids != -2)
+                n_words += len(real)
+                at, seeds = own.hits(ids[real], own.seeds)
+                word = lambda k, raw=raw, real=real: raw[real[k]].strip(EDGES).lower() if 0 <= k < len(real) else ""
+                for p, s in zip(at.tolist(), seeds.tolist(), strict=True):
+                    met[s, zlib.crc32(f"{word(p - 1)} {word(p + N)}".encode())] += 1
+            if len(cache) > CACHE:
+                cache.clear()
             if len(met) > 50_000:
                 yield rows()
                 met.clear()
