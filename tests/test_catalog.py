@@ -92,6 +92,20 @@ def test_find_similar_ranks_and_ties(t):
     assert got == want
 
 
+@pytest.mark.parametrize("roots", [1, 2])
+def test_the_best_k_are_the_first_of_the_whole_ranking(spark, roots):
+    rng = random.Random(roots)
+    nodes = [(f"r{r}", None, "Liquor") for r in range(roots)]
+    for depth in range(4):
+        nodes += [(f"{n}.{i}", n, "Liquor") for n, *_ in nodes if n.count(".") == depth for i in range(2 if depth else 3)]
+    lines = [(str(r), rng.choice(nodes)[0]) for r in range(60) for _ in range(rng.choice([1, 1, 2, 5]))] + [(str(r), "r0.1") for r in range(60, 64)] + [(str(r), "r0.1.0.0.0") for r in range(64, 66)]
+    nodes, lines = spark.createDataFrame(nodes, "node_id string, parent_id string, kind string"), spark.createDataFrame(lines, "recipe_id string, node_id string")
+    recipes, paths = spark.range(66).select(F.col("id").cast("string").alias("recipe_id"), F.col("id").alias("ord")), h.lineage_paths(nodes)
+    whole = j.find_similar(recipes, recipes, lines, nodes, paths)
+    want = {tuple(r) for r in whole.where("rank <= 4").collect() if roots > 1 or r.score > 0}
+    assert {tuple(r) for r in j.find_similar(recipes, recipes, lines, nodes, paths, k=4).collect()} == want
+
+
 def test_forests_score_minus_one(spark):
     nodes = spark.createDataFrame([("a", None, "Liquor"), ("b", None, "Liquor")], "node_id string, parent_id string, kind string")
     lines = spark.createDataFrame([("1", "a"), ("2", "b")], "recipe_id string, node_id string")
