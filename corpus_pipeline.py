@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from catalume.llm import bpe, decontaminate, quality, simhash, surrogates
+from catalume.llm import bpe, decontaminate, jaccard, quality, surrogates
 from catalume.llm.common import new_path, table
 from catalume.llm.queries import SECRET, pattern, ranks
 
@@ -16,8 +16,8 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def keep_distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates: the one with the least doc_id."""
-    return simhash.keep_one(docs).select(*docs.columns)
+    """One document of each group of near-duplicates (five-word shingles, Jaccard 0.8 or more): the one with the least doc_id."""
+    return jaccard.keep_one(docs).select(*docs.columns)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
