@@ -1,6 +1,8 @@
 """What the language model is trained on."""
 
 import numpy as np
+import pyarrow as pa
+from pyspark.sql import functions as F
 
 from catalume.llm import attention, bpe, lm_scoring
 from catalume.llm.queries import END, pattern, ranks
@@ -19,3 +21,27 @@ def test_every_id_of_every_document_is_a_target(spark):
     windows = np.array([np.frombuffer(r.ids, np.uint16) for r in got if r.kind == 2])
     targets = windows[:, attention.SPAN + 1 :]
     assert (np.bincount(targets[targets != 65535], minlength=END + 1) == ids).all() and ids.sum() > 300
+
+
+def test_equal_windows_are_dealt_evenly(spark):
+    window = np.full(2 * attention.SPAN + 1, 5, np.uint16).tobytes()
+    windows = lm_scoring.stage(spark.range(9000).withColumn("ids", F.lit(window)), "equal").select("ids")
+    shares = [lm_scoring.deal(windows, 3, k, 4).groupBy(F.spark_partition_id()).count().collect() for k in range(3)]
+    sizes = [[r["count"] for r in s] for s in shares]
+    assert sum(map(sum, sizes)) == 9000 and all(len(s) == 4 and 600 < min(s) and max(s) < 900 for s in sizes)
+
+
+def test_tasks_grow_with_the_windows_and_weights_are_means(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    counts = rng.integers(1, 50, 300).astype(float)
+    voc = attention.Vocabulary.of(counts, np.arange(300) % 2 == 0, rng.random((200, 66)), np.arange(200))
+    windows = lm_scoring.stage(spark.createDataFrame([(rng.integers(0, 300, 33).astype(np.uint16).tobytes(),) for _ in range(3000)], "ids binary"), "few")
+    met = []
+    real = lm_scoring.deal
+    monkeypatch.setattr(lm_scoring, "deal", lambda w, rounds, k, tasks: met.append(tasks) or real(w, rounds, k, tasks))
+    out = lm_scoring.fit(windows, voc, end=299, per_task=50)
+    assert met == [20] * 3 and all(np.isfinite(x).all() and x.dtype == np.float32 for x in out.values())
+    rows = [lm_scoring.pack({"a": np.full(2, x, np.float32)}) for x in (1, 4)]
+    batch = pa.RecordBatch.from_arrays([pa.array([1, 3]), pa.array([0.0, 0.0]), pa.array(rows, pa.binary())], ["n", "loss", "weights"])
+    (got,) = lm_scoring.add_up(iter([batch]))
+    assert (lm_scoring.unpack(got.column(1)[0].as_py())["a"] / got.column(0)[0].as_py() == 3.25).all()
