@@ -2,7 +2,7 @@
 
 Messages that quote earlier ones (lines that start with ``>``, as deep as they
 nest) are cut into passages of one quote level. Normalised passages and their
-lines are hashed and joined to the hashes of what messages say themselves. The
+lines, sentences and word windows are hashed and joined to the hashes of what messages say themselves. The
 message that most of a reply's first-level quotation comes from is its parent;
 reply order follows from the parents by pointer doubling.
 """
@@ -16,20 +16,42 @@ from catalume.llm.common import stage
 
 MARK = r"^((?:[ \t]*>)+)[ \t]?"
 ATTRIBUTION = r"(?i)\b(?:wrote|writes|schrieb|a écrit|escribió)\b[^\n]{0,40}:[ \t]*$"
-#: Shorter lines (after normalising) are too common to link anything.
+#: Shorter passages (after normalising) are too common to link other conversations.
 MIN_CHARS = 20
+#: Words of a window; a passage of fewer words is one window.
+WINDOW = 5
 
 
 def _normal(x: Column) -> Column:
     return F.lower(F.trim(F.regexp_replace(x, r"[\x20\x09-\x0D]+", " ")))
 
 
+def _hashed(df: DataFrame, text: str, units: Column, chars: Column) -> DataFrame:
+    one = df.withColumn("_unit", F.explode(F.array_distinct(units)))
+    return one.withColumn("hash", F.md5(F.col("_unit").cast("binary"))).withColumn("chars", chars).drop("_unit", text)
+
+
 def _units(df: DataFrame, text: str) -> DataFrame:
-    """Each text as a whole and each of its lines, as distinct hashes with their length."""
-    whole = F.array(F.col(text))
-    parts = F.transform(F.array_union(whole, F.split(F.col(text), "\n")), _normal)
-    one = df.withColumn("_unit", F.explode(F.array_distinct(F.filter(parts, lambda x: F.length(x) >= MIN_CHARS))))
-    return one.withColumn("hash", F.md5(F.col("_unit").cast("binary"))).withColumn("chars", F.length("_unit")).drop("_unit", text)
+    """Each text as a whole, each of its lines and each of its sentences, as distinct hashes with their length."""
+    whole = F.array(_normal(F.col(text)))
+    lines = F.transform(F.split(F.col(text), "\n"), _normal)
+    parts = F.array_union(F.array_union(whole, lines), F.split(_normal(F.col(text)), r"(?<=[.!?]) "))
+    return _hashed(df, text, F.filter(parts, lambda x: F.length(x) > 0), F.length("_unit"))
+
+
+def _windows(df: DataFrame, text: str, shorter: bool = False) -> DataFrame:
+    """Windows of ``WINDOW`` words of each text, or all its words if they are fewer; with ``shorter`` those of fewer words, too. Lines and punctuation don't count."""
+    df = df.withColumn("_words", F.array_remove(F.split(F.regexp_replace(_normal(F.col(text)), r"[^\p{L}\p{N}]+", " "), " "), ""))
+    n = F.size("_words")
+
+    def of(k: Column) -> Column:
+        starts = F.when(n >= k, F.sequence(F.lit(1), F.greatest(F.lit(1), n - k + 1))).otherwise(F.array().cast("array<int>"))
+        return F.transform(starts, lambda i: F.concat(F.lit("\n"), F.array_join(F.slice("_words", i, k), " ")))  # no other unit has a line end
+
+    units = F.concat(*[of(F.lit(k)) for k in range(1, WINDOW + 1)]) if shorter else of(F.greatest(F.lit(1), F.least(F.lit(WINDOW), n)))
+    # a text's windows together count about as much as the text
+    chars = F.when(n < WINDOW, F.length("_unit") - 1).otherwise(F.length(F.substring_index("_unit", " ", 1)))
+    return _hashed(df, text, units, chars).drop("_words")
 
 
 def link_quotations(messages: DataFrame, *, conv_id: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
@@ -41,7 +63,9 @@ def link_quotations(messages: DataFrame, *, conv_id: str = "conv_id", turn: str
     what they answer). Where the conversation itself has no source, linked_conv and
     linked_turn name the first message anywhere that has the passage. n_quotes and
     n_linked count passages. Null text counts as empty, and a null turn or
-    conversation links to nothing. Where passages come from several messages the one
+    conversation links to nothing. Within a conversation passages of any length
+    link, also re-wrapped ones and parts of a line; other conversations are searched
+    for whole messages, lines and sentences of ``MIN_CHARS`` or more. Where passages come from several messages the one
     with most characters wins, then the later. Repeated messages each get their row;
     an empty table gives an empty result; other columns are ignored.
     """
@@ -62,12 +86,16 @@ def link_quotations(messages: DataFrame, *, conv_id: str = "conv_id", turn: str
     # what was quoted anywhere, then who said it first: one row for each key, however often it was said
     said = _units(bare.select("conv_id", "turn", "text"), "text").join(asked.select("hash").distinct(), "hash", "left_semi").where(F.col("turn").isNotNull())
     said = stage(said.groupBy("hash", "conv_id").agg(F.min("turn").alias("first")), "said")
-    here = asked.join(said, ["conv_id", "hash"]).where(F.col("first") < F.col("turn"))
+    near = stage(_windows(passages, "passage"), "quoted")
+    talk = bare.select("conv_id", "turn", "text").join(passages.select("conv_id").distinct(), "conv_id", "left_semi").where(F.col("turn").isNotNull())
+    heard = _windows(talk, "text", shorter=True).join(near.select("hash").distinct(), "hash", "left_semi").groupBy("hash", "conv_id").agg(F.min("turn").alias("first"))
+    heard = stage(heard, "heard")
+    here = asked.unionByName(near).join(said.unionByName(heard), ["conv_id", "hash"]).where(F.col("first") < F.col("turn"))
     votes = here.groupBy("_id", "level", "first").agg(F.sum("chars").alias("chars"))
     parent = votes.where("level = 1").groupBy("_id").agg(F.max(F.struct("chars", "first")).alias("best")).select("_id", F.col("best.first").alias("parent_turn"))
     found = here.select("_id", "level", "run").distinct()
     anywhere = said.groupBy("hash").agg(F.min(F.struct("conv_id", "first")).alias("at"))
-    away = asked.join(found, ["_id", "level", "run"], "left_anti").join(anywhere, "hash").where(~F.col("at.conv_id").eqNullSafe(F.col("conv_id")))
+    away = asked.where(F.col("chars") >= MIN_CHARS).join(found, ["_id", "level", "run"], "left_anti").join(anywhere, "hash").where(~F.col("at.conv_id").eqNullSafe(F.col("conv_id")))
     linked = away.groupBy("_id").agg(F.max(F.struct("chars", "at")).alias("best"), F.count_distinct("level", "run").alias("n_away")).select("_id", F.col("best.at.conv_id").alias("linked_conv"), F.col("best.at.first").alias("linked_turn"), "n_away")
     counts = passages.groupBy("_id").agg(F.count(F.lit(1)).alias("n_quotes")).join(found.groupBy("_id").agg(F.count(F.lit(1)).alias("n_here")), "_id", "left").join(linked, "_id", "left").join(parent, "_id", "left")
     full = stage(bare.join(counts, "_id", "left"), "linked")
