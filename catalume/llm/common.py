@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
+from collections.abc import Callable
+from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,6 +16,29 @@ from pyspark.sql import functions as F
 SPACES = "\t\n\x0b\f\r"
 
 
+#: What this Python worker keeps from task to task: one thing at most, with the key it was made for.
+_held: list = []
+
+
+def release() -> None:
+    """Give back what earlier tasks left in this Python worker, which Spark uses again for other operators."""
+    if _held:
+        _held.clear()
+        gc.collect()
+        try:
+            ctypes.CDLL("libc.so.6").malloc_trim(0)
+        except (OSError, AttributeError):  # another C library
+            pass
+
+
+def held(key: tuple, make: Callable[[], Any]) -> Any:
+    """What ``make`` gives, kept in this Python worker until another key is asked for or an operator releases it."""
+    if not _held or _held[0] != key:
+        release()
+        _held[:] = [key, make()]
+    return _held[1]
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
