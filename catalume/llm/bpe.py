@@ -22,6 +22,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from catalume.llm.common import held
+
 #: Entries a worker keeps in each of its caches before it starts afresh.
 CACHE = 200_000
 
@@ -163,15 +165,10 @@ class BytePairEncoder:
         return b"".join(map(self.tokens.__getitem__, ids))
 
 
-_made: dict[tuple, BytePairEncoder] = {}
-
-
 def encoder(tokens: list[bytes], pattern: str) -> BytePairEncoder:
-    """One encoder for each Python worker and vocabulary."""
-    key = (len(tokens), hashlib.sha256(b"\0".join(tokens)).digest(), pattern)
-    if key not in _made:
-        _made[key] = BytePairEncoder(tokens, pattern)
-    return _made[key]
+    """The encoder of this Python worker, kept until another operator's task runs there."""
+    key = ("bpe", len(tokens), hashlib.sha256(b"\0".join(tokens)).digest(), pattern)
+    return held(key, lambda: BytePairEncoder(tokens, pattern))
 
 
 def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, *, text: str = "text", keep: tuple[str, ...] = ("doc_id",), ids: bool = True, digests: bool = False) -> DataFrame:

@@ -20,11 +20,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from catalume.llm.common import free_name, release, stage
+
 N = 3
 #: Characters that don't count at the ends of a word.
 EDGES = ".,;:!?\"'()[]{}*$%&#|<>-"
 #: Words that a task remembers before it starts afresh.
-CACHE = 300_000
+CACHE = 150_000
 
 
 def normalised(text: str | None) -> list[str]:
@@ -147,6 +149,7 @@ def _rare(docs: DataFrame, items, text: str, contexts_per_million: float, least:
     """The seeds that are rare over all documents; at most a part's seeds reach the driver."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         own, cache = items.value, _Ids(items.value.vocabulary)
         met: Counter = Counter()
         n_words = 0
@@ -206,6 +209,7 @@ def contaminated(
         rare = sc.broadcast(_rare(src, items, "text", contexts_per_million, least_contexts, dominant))
 
         def align(batches: Iterator[pa.RecordBatch], items=items, rare=rare) -> Iterator[pa.RecordBatch]:
+            release()
             own, seeds = items.value, rare.value
             cache = _Ids(own.vocabulary)
             for batch in batches:
@@ -221,8 +225,12 @@ def contaminated(
     return out
 
 
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
-    """``docs`` without those that hold a test item. Rows without doc_id stay."""
-    key = options.get("doc_id", "doc_id")
-    found = contaminated(docs, benchmark, **options).select(F.col("doc_id").alias(key)).distinct()
-    return docs.join(found, key, "left_anti")
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, *, doc_id: str = "doc_id", **options) -> DataFrame:
+    """The rows of ``docs`` that hold no test item, with their columns as they are.
+
+    Decisions go by row: rows that share a doc_id, or have none, are told apart.
+    """
+    key = free_name(docs, "_row")
+    numbered = stage(docs.withColumn(key, F.monotonically_increasing_id()), "numbered")
+    found = contaminated(numbered, benchmark, doc_id=key, **options).select(F.col("doc_id").alias(key)).distinct()
+    return numbered.join(found, key, "left_anti").select(*docs.columns)

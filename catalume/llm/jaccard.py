@@ -1,12 +1,15 @@
 """Near copies: texts whose sets of five-word shingles have a Jaccard similarity of 0.8 or more, linked exactly.
 
-No candidate is lost: of two sets that are that much alike, each has one of the
+SimHash finds most of them cheaply: fingerprints over the same shingles are linked by
+multi-index hashing, and every link is verified on the shingles. Texts at 0.8 differ
+by about ten of 64 bits, though, which no small Hamming ball reaches, so a prefix
+filter completes the links: of two sets that are that much alike, each has one of the
 other's shingles among its first ``n - ceil(0.8 n) + 1`` in any order that all sets
-share (prefix filter). The order is by how many texts have a shingle, rare first;
-counts by bucket of hashes serve for that, as only the order must be the same for
-all. Every link is verified on the shingles themselves. Equal sets are folded first;
-in a group of copies all are first held against the most typical one, then only
-texts that aren't linked yet are paired.
+share, and the first one that they share stands so early in both that enough can
+follow it. The order is by how many texts have a shingle, rare first; counts by bucket
+of hashes serve for that, as only the order must be the same for all. Equal sets are
+folded first; what SimHash left apart is held against the most typical text, and only
+texts that aren't linked by then are paired. No link between different texts is lost.
 """
 
 from __future__ import annotations
@@ -19,14 +22,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from catalume.llm.common import stage
+from catalume.llm import simhash
+from catalume.llm.common import free_name, release, stage
 from catalume.llm.simhash import SEED, components
 
 WIDTH, LEAST = 5, 0.8
 #: Buckets of shingle hashes, counted to tell rare from frequent.
 BUCKETS = 1 << 16
 #: Words that a task remembers.
-CACHE = 400_000
+CACHE = 200_000
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -70,6 +74,7 @@ def _popularity(rows: DataFrame, width: int) -> np.ndarray:
     """How many texts have shingles of each bucket. Its size is fixed."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         own, total = Shingles(width), np.zeros(BUCKETS, np.int64)
         for batch in batches:
             for value in batch.column(0):
@@ -84,33 +89,36 @@ def _popularity(rows: DataFrame, width: int) -> np.ndarray:
 
 
 def _described(rows: DataFrame, width: int, least: float) -> DataFrame:
-    """(row, name, size, digest, typical, prefix) of each row: typical is the mean logarithm of its shingles' popularity."""
+    """(row, name, size, digest, fp, typical, prefix) of each row: fp is its SimHash, typical the mean logarithm of its shingles' popularity."""
     shared = rows.sparkSession.sparkContext.broadcast(_popularity(rows, width))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
+        release()
         popular, own = shared.value, Shingles(width)
         for batch in batches:
-            size, digest, typical, prefix = [], [], [], []
+            size, digest, prints, typical, prefix = [], [], [], [], []
             for value in batch.column(2):
                 s = own(value.as_py())
                 n = popular[_bucket(s)]
                 first = np.lexsort((s, n))[: len(s) - math.ceil(least * len(s) - 1e-9) + 1]
                 size.append(len(s))
                 digest.append(xxhash.xxh3_128_digest(s.tobytes()))
+                prints.append(simhash.majority(len(s), [s]))
                 typical.append(float(np.log2(n).mean()) if len(s) else 0.0)
                 prefix.append(s[first].view(np.int64))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(size, pa.int64()), pa.array(digest, pa.binary()), pa.array(typical, pa.float64()), pa.array(prefix, pa.list_(pa.int64()))], ["row", "name", "size", "digest", "typical", "prefix"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(size, pa.int64()), pa.array(digest, pa.binary()), pa.array(np.array(prints, np.uint64).view(np.int64)), pa.array(typical, pa.float64()), pa.array(prefix, pa.list_(pa.int64()))], ["row", "name", "size", "digest", "fp", "typical", "prefix"])
 
     kind = rows.schema["name"].dataType.simpleString()
-    return stage(rows.select("row", "name", "text").mapInArrow(run, f"row long, name {kind}, size long, digest binary, typical double, prefix array<long>"), "shingles")
+    return stage(rows.select("row", "name", "text").mapInArrow(run, f"row long, name {kind}, size long, digest binary, fp long, typical double, prefix array<long>"), "shingles")
 
 
 def _verified(pairs: DataFrame, rows: DataFrame, width: int, least: float) -> DataFrame:
     """Those of ``pairs`` (a, b) that are alike by their shingles."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         own, last, at = Shingles(width), None, None
         for batch in batches:
             a, b = batch.column(0).to_pylist(), batch.column(1).to_pylist()
@@ -129,6 +137,12 @@ def _verified(pairs: DataFrame, rows: DataFrame, width: int, least: float) -> Da
     return stage(both.mapInArrow(run, "a long, b long"), "alike")
 
 
+def _grouped(rows: DataFrame, links: DataFrame) -> DataFrame:
+    """``rows`` (row, ...) with the group that ``links`` (a, b) put each into; its own where it has no link."""
+    group = components(links).select(F.col("node").alias("row"), F.col("root").alias("group"))
+    return rows.join(group, "row", "left").withColumn("group", F.coalesce("group", "row"))
+
+
 def near_copies(rows: DataFrame, *, width: int = WIDTH, least: float = LEAST) -> DataFrame:
     """(row, first) for each of ``rows`` (row, name, text): the row of its group of linked texts that has the least name, then the least row.
 
@@ -138,21 +152,30 @@ def near_copies(rows: DataFrame, *, width: int = WIDTH, least: float = LEAST) ->
     order = F.struct(F.col("name").isNull().alias("unnamed"), "name", "row")
     folded = stage(found.groupBy("digest").agg(F.min(order).alias("at")), "folded")
     single = found.join(folded.select(F.col("at.row").alias("row")), "row", "left_semi")
-    filed = single.select("row", "size", "typical", F.explode("prefix").alias("key"))
-    # the typical text of each shingle that several texts have in their prefix
-    keys = filed.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.max(F.struct("typical", F.col("row").alias("hub"), F.col("size").alias("hub_size"))).alias("hub")).where("n > 1")
-    met = stage(filed.join(keys.select("key", "hub.hub", "hub.hub_size"), "key").select("key", "row", "size", "hub", "hub_size"), "met")
     fits = lambda x, y: F.least(x, y) >= F.greatest(x, y) * least - 1e-9
-    stars = stage(met.where((F.col("row") != F.col("hub")) & fits(F.col("size"), F.col("hub_size"))).select(F.col("hub").alias("a"), F.col("row").alias("b")).distinct(), "stars")
-    links = _verified(stars, rows, width, least)
+    # SimHash first: texts of one fingerprint with the least of them, and fingerprints that multi-index hashing links
+    prints = stage(single.select("row", "size", "fp"), "prints")
+    least_of = stage(prints.groupBy("fp").agg(F.min("row").alias("row")), "leasts")
+    leader = lambda fp, row: least_of.select(F.col("fp").alias(fp), F.col("row").alias(row))
+    near = simhash.links(least_of).withColumnsRenamed({"a": "fa", "b": "fb"}).join(leader("fa", "a"), "fa").join(leader("fb", "b"), "fb").select("a", "b")
+    same = prints.join(leader("fp", "a"), "fp").where(F.col("a") < F.col("row")).select("a", F.col("row").alias("b"))
+    hashed = _verified(stage(near.unionByName(same), "hashed"), rows, width, least)
+    # then the typical text of each shingle that several groups have early
+    filed = _grouped(single, hashed).select("row", "size", "typical", "group", F.posexplode("prefix").alias("pos", "key"))
+    early = lambda x, p, y, q: F.least(x - p, y - q) >= least / (1 + least) * (x + y) - 1e-9
+    hub = F.max(F.struct("typical", *[F.col(c).alias(f"hub_{c}") for c in ("row", "size", "pos", "group")]))
+    keys = filed.groupBy("key").agg(F.min("group").alias("low"), F.max("group").alias("high"), hub.alias("hub")).where("low <> high")
+    met = stage(filed.drop("typical").join(keys.select("key", "hub.*").drop("typical"), "key"), "met")
+    possible = (F.col("group") != F.col("hub_group")) & fits(F.col("size"), F.col("hub_size")) & early(F.col("size"), F.col("pos"), F.col("hub_size"), F.col("hub_pos"))
+    stars = stage(met.where(possible).select(F.col("hub_row").alias("a"), F.col("row").alias("b")).distinct(), "stars")
+    links = hashed.unionByName(_verified(stars, rows, width, least))
     # what the stars left apart
-    group = components(links).select(F.col("node").alias("row"), F.col("root").alias("group"))
-    apart = met.join(group, "row", "left").select("key", "row", "size", F.coalesce("group", "row").alias("group"))
-    apart = stage(apart, "apart")
+    apart = stage(_grouped(met.select("key", "row", "size", "pos"), links), "apart")
     mixed = apart.groupBy("key").agg(F.min("group").alias("low"), F.max("group").alias("high")).where("low <> high").select("key")
-    left = apart.join(mixed, "key", "left_semi")
-    right = left.select("key", F.col("row").alias("b"), F.col("size").alias("size_b"), F.col("group").alias("group_b"))
-    pairs = left.withColumnRenamed("row", "a").join(right, "key").where((F.col("a") < F.col("b")) & (F.col("group") != F.col("group_b")) & fits(F.col("size"), F.col("size_b"))).select("a", "b").distinct()
+    left = apart.join(mixed, "key", "left_semi").select("key", "row", "size", "pos", "group")
+    right = left.select("key", *[F.col(c).alias(f"{c}_b") for c in ("row", "size", "pos", "group")])
+    both = left.join(right, "key").where((F.col("row") < F.col("row_b")) & (F.col("group") != F.col("group_b")) & fits(F.col("size"), F.col("size_b")) & early(F.col("size"), F.col("pos"), F.col("size_b"), F.col("pos_b")))
+    pairs = both.select(F.col("row").alias("a"), F.col("row_b").alias("b")).distinct()
     tested = stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     more = _verified(stage(pairs.join(tested, ["a", "b"], "left_anti"), "pairs"), rows, width, least)
     roots = stage(components(links.unionByName(more)), "roots")
@@ -162,8 +185,15 @@ def near_copies(rows: DataFrame, *, width: int = WIDTH, least: float = LEAST) ->
 
 
 def keep_one(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", width: int = WIDTH, least: float = LEAST) -> DataFrame:
-    """``docs`` with one document of each group of near copies: the one with the least doc_id. Rows without doc_id stay."""
-    rows = stage(docs.select(F.col(doc_id).alias("name"), F.col(text).alias("text")).withColumn("row", F.monotonically_increasing_id()), "rows")
-    first = near_copies(rows, width=width, least=least).where("row = first").select("row")
-    names = rows.join(first, "row", "left_semi").select(F.col("name").alias(doc_id)).distinct()
-    return docs.where(F.col(doc_id).isNotNull()).join(names, doc_id, "left_semi").unionByName(docs.where(F.col(doc_id).isNull()))
+    """``docs`` with one row of each group of near copies: the one with the least doc_id, of equal ones the first.
+
+    Decisions go by row: repeated rows and rows that share a doc_id are told apart, and
+    a row without doc_id stays only where its group has none with one. Null and empty
+    texts are copies of each other. Other columns are kept as they are, whatever their
+    names; an empty table gives an empty result.
+    """
+    key = free_name(docs, "_row")
+    numbered = stage(docs.withColumn(key, F.monotonically_increasing_id()), "rows")
+    rows = numbered.select(F.col(doc_id).alias("name"), F.col(text).alias("text"), F.col(key).alias("row"))
+    first = near_copies(rows, width=width, least=least).where("row = first").select(F.col("row").alias(key))
+    return numbered.join(first, key, "left_semi").drop(key).select(*docs.columns)

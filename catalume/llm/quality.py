@@ -19,10 +19,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from catalume.llm.common import stage
+from catalume.llm.common import free_name, release, stage
 
 EDGES = ".,;:!?\"'()[]{}"
-CACHE = 300_000
+CACHE = 150_000
 SHAPES = 8
 
 
@@ -113,17 +113,20 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray, int]], *, least: int = 10, clea
 
 
 def train(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: str = "text", quality: str = "quality", toxic: str | None = "toxic", max_rows: int = 10_000) -> Model:
-    """Fit on at most ``max_rows`` labelled documents, those of the least hash of their id.
+    """Fit on at most about ``max_rows`` labelled documents: those whose id's hash is low enough.
 
     Good is quality 1 and, where there is such a column, toxic 0. Only hashed words
     and shapes of those documents reach the driver.
     """
     good = (F.col(quality) == 1) & (F.coalesce(F.col(toxic), F.lit(0)) == 0 if toxic else F.lit(True))
     known = labels.where(F.col(doc_id).isNotNull() & F.col(quality).isNotNull()).groupBy(F.col(doc_id).alias("_id")).agg(F.min(good.cast("int")).alias("_good"))
-    some = known.orderBy(F.xxhash64("_id"), "_id").limit(max_rows)  # bounded, so broadcast
+    share = max_rows / max(1, known.count())
+    lot = F.pmod(F.xxhash64("_id"), F.lit(1 << 40)) / float(1 << 40)
+    some = known.where(lot < share) if share < 1 else known  # about ``max_rows`` rows, so broadcast
     picked = docs.select(F.col(doc_id).alias("_id"), F.col(text).alias("_text")).join(F.broadcast(some), "_id").select("_text", "_good")
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         cache: dict[str, int] = {}
         for batch in batches:
             ks, shapes = [], []
@@ -147,6 +150,7 @@ def evidence(docs: DataFrame, model: Model, text: str) -> Column:
 
     @F.pandas_udf("double")
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        release()
         cache: dict[str, float] = {}
         for texts in batches:
             yield pd.Series([shared.value.logit(t, cache) for t in texts], dtype=float)
@@ -154,63 +158,106 @@ def evidence(docs: DataFrame, model: Model, text: str) -> Column:
     return score(F.col(text))
 
 
-def _concentration(groups: DataFrame, n: str, mean: str, above: str, noise: float, parents: float) -> float:
+def _concentration(groups: DataFrame, n: str, mean: Column, above: Column, of: Column, noise: float, parents: float) -> float:
     """How many documents the level above is worth to a group: noise over the spread that noise doesn't explain."""
-    total, squares, spread, count = groups.agg(F.sum(n), F.sum(F.col(n) * F.col(n) / F.col("_of")), F.sum(F.col(n) * (F.col(mean) - F.col(above)) ** 2), F.count(F.lit(1))).first()
+    total, squares, spread, count = groups.agg(F.sum(n), F.sum(F.col(n) * F.col(n) / of), F.sum(F.col(n) * (mean - above) ** 2), F.count(F.lit(1))).first()
     if not total or count <= parents or total <= squares:
         return 1e12
     between = (spread - (count - parents) * noise) / (total - squares)
     return 1e12 if between <= 1e-12 else max(1e-3, noise / between)
 
 
-def site_posteriors(scored: DataFrame, *, host: str, path: str, p: str) -> tuple[DataFrame, dict[str, float]]:
-    """Sums and shrinkage for every (host, path), from each document's probability ``p``."""
-    paths = stage(scored.groupBy(F.col(host).alias("_host"), F.col(path).alias("_path")).agg(F.count(F.lit(1)).alias("_n"), F.sum(p).alias("_s"), F.sum(F.col(p) * F.col(p)).alias("_q")), "paths")
-    hosts = stage(paths.groupBy("_host").agg(F.sum("_n").alias("_hn"), F.sum("_s").alias("_hs"), F.sum("_q").alias("_hq")), "hosts")
-    n, s, n_hosts, noise = hosts.agg(F.sum("_hn"), F.sum("_hs"), F.count(F.lit(1)), F.sum(F.col("_hq") - F.col("_hs") ** 2 / F.col("_hn"))).first()
+def site_posteriors(scored: DataFrame, *, levels: tuple[str, ...], p: str) -> tuple[DataFrame, list[float]]:
+    """Sums for every site of the last of ``levels`` and of those above it, and the shrinkage of each level.
+
+    ``levels`` are columns from the host down; ``p`` is each document's probability.
+    Columns _l1, _l2, ... name a site, _n1, _s1, _n2, ... are its documents and their
+    sum at each level. The list has the prior, then each level's concentration. Of
+    documents only grouped sums are made; a level's rows are its sites.
+    """
+    names = [f"_l{d}" for d in range(1, len(levels) + 1)]
+    sums = stage(scored.groupBy(*[F.col(c).alias(x) for c, x in zip(levels, names, strict=True)]).agg(F.count(F.lit(1)).alias("_n"), F.sum(p).alias("_s"), F.sum(F.col(p) * F.col(p)).alias("_q")), "sites")
+    out = sums.select(*names)
+    for d in range(1, len(levels) + 1):
+        of = sums.groupBy(*names[:d]).agg(*[F.sum(f"_{x}").alias(f"_{x}{d}") for x in "nsq"]).select(*[F.col(x).alias(f"_of_{x}") for x in names[:d]], f"_n{d}", f"_s{d}", f"_q{d}")
+        same = F.col("_of__l1").eqNullSafe(F.col("_l1"))
+        for x in names[1:d]:
+            same = same & F.col(f"_of_{x}").eqNullSafe(F.col(x))
+        out = out.join(of, same).drop(*[f"_of_{x}" for x in names[:d]])
+    out = stage(out, "sites")
+    top = out.select("_l1", "_n1", "_s1", "_q1").distinct()
+    n, s, n_hosts, noise = top.agg(F.sum("_n1"), F.sum("_s1"), F.count(F.lit(1)), F.sum(F.col("_q1") - F.col("_s1") ** 2 / F.col("_n1"))).first()
     if not n:
-        return paths.withColumn("_hn", F.lit(0)).withColumn("_hs", F.lit(0.0)), {"prior": 0.5, "host": 1e12, "path": 1e12}
+        return out, [0.5, *[1e12] * len(levels)]
     prior = float(np.clip(s / n, 1e-6, 1 - 1e-6))
     noise = max(1e-9, noise / max(1, n - n_hosts))
-    k_host = _concentration(hosts.withColumn("_of", F.lit(float(n))).withColumn("_m", F.col("_hs") / F.col("_hn")).withColumn("_a", F.lit(prior)), "_hn", "_m", "_a", noise, 1)
-    both = paths.join(hosts, paths["_host"].eqNullSafe(hosts["_host"])).drop(hosts["_host"])
-    both = stage(both, "sites")
-    k_path = _concentration(both.withColumn("_of", F.col("_hn")).withColumn("_m", F.col("_s") / F.col("_n")).withColumn("_a", F.col("_hs") / F.col("_hn")), "_n", "_m", "_a", noise, n_hosts)
-    return both, {"prior": prior, "host": k_host, "path": k_path}
+    mean = lambda d: F.col(f"_s{d}") / F.col(f"_n{d}") if d else F.lit(prior)
+    found, parents = [prior], 1
+    for d in range(1, len(levels) + 1):
+        sites = out.select(*names[:d], *[f"_{x}{k}" for k in range(1, d + 1) for x in "ns"]).distinct()
+        found.append(_concentration(sites, f"_n{d}", mean(d), mean(d - 1), F.col(f"_n{d - 1}") if d > 1 else F.lit(float(n)), noise, parents))
+        parents = sites.count() if d < len(levels) else 0
+    return out, found
+
+
+def url_levels(docs: DataFrame, url: str, *, paths: int = 2) -> tuple[DataFrame, tuple[str, ...]]:
+    """``docs`` with the host of ``url`` (lower-case, without www.) and its first one to ``paths`` path prefixes; and the names of those columns, the host's first.
+
+    A null or broken address is a site of its own; an address with a shorter path has
+    its whole path at the deeper levels.
+    """
+    host = F.regexp_replace(F.lower(F.try_parse_url(F.col(url), F.lit("HOST"))), r"^www\.", "")
+    parts = F.array_remove(F.split(F.coalesce(F.try_parse_url(F.col(url), F.lit("PATH")), F.lit("")), "/"), "")
+    names, out = [], docs
+    for k in range(paths + 1):
+        name = free_name(out, f"_site{k}")
+        out = out.withColumn(name, host if k == 0 else F.array_join(F.slice(parts, 1, k), "/"))
+        names.append(name)
+    return out, tuple(names)
 
 
 def classify(
-    docs: DataFrame, labels: DataFrame, *, text: str = "text", doc_id: str = "doc_id", host: str = "source", path: str = "lang", keep: tuple[str, ...] | None = None,
+    docs: DataFrame, labels: DataFrame, *, text: str = "text", doc_id: str = "doc_id", levels: tuple[str, ...] = ("source", "lang"), keep: tuple[str, ...] | None = None,
     threshold: float = 0.5, max_rows: int = 10_000, model: Model | None = None,
 ) -> DataFrame:
     """The ``keep`` columns (default: doc_id), then evidence, host_posterior, path_posterior, posterior (double) and kept.
 
     ``labels`` (doc_id, quality, toxic) train the model; the site posteriors come from
-    all of ``docs``. ``kept`` is posterior >= threshold. Null text counts as empty,
-    null hosts and paths are sites of their own. Conflicting labels of a document
-    count as the worse; without labels of both kinds the evidence is their share.
-    Repeated rows each get their row and count in their site; an empty table gives an
-    empty result. If ``keep`` holds the text, the evidence is computed a second time
-    where the documents are read again, instead of moving texts about.
+    all of ``docs``. ``levels`` name the host's column and those of the paths below it,
+    from wide to narrow; ``url_levels`` makes them from addresses. The table of
+    documents has no addresses, so there its source stands for the host and its
+    language for the part of the host below it. host_posterior is that of the first
+    level and path_posterior that of the last. ``kept`` is posterior >= threshold.
+
+    Null text counts as empty, nulls in a level are sites of their own. Conflicting
+    labels of a document count as the worse; without labels of both kinds the evidence
+    is their share. Repeated rows each get their row and count in their site; an empty
+    table gives an empty result. An output whose name a kept column has gets
+    underscores at its end. The evidence is written once, beside what is kept.
     """
-    keep = keep or (doc_id,)
+    keep = tuple(keep or (doc_id,))
     model = model or train(docs, labels, doc_id=doc_id, text=text, max_rows=max_rows)
-    z = evidence(docs, model, text)
-    own = [c for c in dict.fromkeys([*keep, host, path])]
-    scored = docs.select(*own, *([] if text in own else [text])).withColumn("_z", z).select(*own, "_z")
-    odds = lambda x: F.log(x / (1.0 - x))
-    if text not in own:
-        scored = stage(scored, "evidence")
-        light = scored
-    else:
-        light = stage(docs.select(host, path, text).withColumn("_z", z).select(host, path, "_z"), "evidence")
-    p = lambda df: df.withColumn("_p", 1.0 / (1.0 + F.exp(-F.col("_z"))))
-    sites, k = site_posteriors(p(light), host=host, path=path, p="_p")
-    rows = p(scored).join(sites, F.col(host).eqNullSafe(sites["_host"]) & F.col(path).eqNullSafe(sites["_path"]))
+    own = [F.col(c).alias(f"k{i}") for i, c in enumerate(keep)] + [F.col(c).alias(f"s{i}") for i, c in enumerate(levels)]
+    rows = docs.select(*own, F.col(text).alias("t")).withColumn("z", evidence(docs, model, "t")).drop("t")
+    rows = stage(rows, "evidence").withColumn("p", 1.0 / (1.0 + F.exp(-F.col("z"))))
+    sites, (prior, *worth) = site_posteriors(rows, levels=tuple(f"s{i}" for i in range(len(levels))), p="p")
+    same = F.col("s0").eqNullSafe(F.col("_l1"))
+    for i in range(1, len(levels)):
+        same = same & F.col(f"s{i}").eqNullSafe(F.col(f"_l{i + 1}"))
+    rows = rows.join(sites, same)
     bound = lambda x: F.least(F.greatest(x, F.lit(1e-6)), F.lit(1 - 1e-6))
-    of_host = bound((F.col("_hs") - F.col("_p") + k["host"] * k["prior"]) / (F.col("_hn") - 1 + k["host"]))
-    of_path = bound((F.col("_s") - F.col("_p") + k["path"] * F.col("host_posterior")) / (F.col("_n") - 1 + k["path"]))
-    rows = rows.withColumn("host_posterior", of_host).withColumn("path_posterior", of_path)
-    total = F.col("_z") - float(np.log(k["prior"] / (1 - k["prior"]))) + odds(F.col("path_posterior"))
-    rows = rows.withColumn("posterior", 1.0 / (1.0 + F.exp(-total)))
-    return rows.select(*keep, F.col("_z").alias("evidence"), "host_posterior", "path_posterior", "posterior", (F.col("posterior") >= threshold).alias("kept"))
+    above = F.lit(prior)
+    for d, k in enumerate(worth, 1):  # a document's own evidence is left out
+        rows = rows.withColumn(f"post{d}", bound((F.col(f"_s{d}") - F.col("p") + k * above) / (F.col(f"_n{d}") - 1 + k)))
+        above = F.col(f"post{d}")
+    total = F.col("z") - float(np.log(prior / (1 - prior))) + F.log(above / (1.0 - above))
+    rows = rows.withColumn("post", 1.0 / (1.0 + F.exp(-total)))
+    out = {"evidence": F.col("z"), "host_posterior": F.col("post1"), "path_posterior": F.col(f"post{len(levels)}"), "posterior": F.col("post"), "kept": F.col("post") >= threshold}
+    taken = docs.select(*keep)
+    return rows.select(*[F.col(f"k{i}").alias(c) for i, c in enumerate(keep)], *[x.alias(free_name(taken, c)) for c, x in out.items()])
+
+
+def keep_good(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
+    """The rows of ``docs`` that ``classify`` keeps, with their columns as they are, whatever their names."""
+    verdict = free_name(docs, "kept")
+    return classify(docs, labels, keep=tuple(docs.columns), **options).where(F.col(verdict)).select(*docs.columns)

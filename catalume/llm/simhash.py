@@ -10,14 +10,14 @@ other half (of which one must agree), so no key's work lands in one task.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from catalume.llm.common import stage
+from catalume.llm.common import release, stage
 
 SEED = 42
 #: Shingles hashed at a time.
@@ -32,12 +32,16 @@ def fingerprint(text: str | None, width: int = 3) -> int:
     if not w:
         return 0
     shingles = list(map(b" ".join, zip(*(w[i:] for i in range(width)), strict=False))) if len(w) >= width else [b" ".join(w)]
-    ones = np.zeros(64, np.int64)
     digest = xxhash.xxh64_intdigest
-    for k in range(0, len(shingles), BLOCK):
-        hashes = np.array([digest(s, SEED) for s in shingles[k : k + BLOCK]], ">u8")
-        ones += np.unpackbits(hashes.view(np.uint8)).reshape(-1, 64).sum(0, dtype=np.int64)
-    return int.from_bytes(np.packbits(2 * ones > len(shingles)).tobytes(), "big")
+    return majority(len(shingles), (np.array([digest(s, SEED) for s in shingles[k : k + BLOCK]], np.uint64) for k in range(0, len(shingles), BLOCK)))
+
+
+def majority(n: int, hashes: Iterable[np.ndarray]) -> int:
+    """The bits that over half of ``n`` 64-bit hashes, given in parts, have set."""
+    ones = np.zeros(64, np.int64)
+    for part in hashes:
+        ones += np.unpackbits(part.astype(">u8").view(np.uint8)).reshape(-1, 64).sum(0, dtype=np.int64)
+    return int.from_bytes(np.packbits(2 * ones > n).tobytes(), "big")
 
 
 def with_fingerprints(docs: DataFrame, *, text: str = "text", out: str = "fp", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
@@ -47,6 +51,7 @@ def with_fingerprints(docs: DataFrame, *, text: str = "text", out: str = "fp", k
     fields = [docs.schema[c] for c in keep] + [T.StructField(out, T.LongType())]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for batch in batches:
             prints = np.array([fingerprint(x.as_py()) for x in batch.column(len(keep))], np.uint64)
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(prints.view(np.int64))], [f.name for f in fields])
@@ -136,10 +141,3 @@ def near_duplicates(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_i
     facts = stage(rooted.join(named, "root").select("fp", "component_id", F.coalesce("n_links", F.lit(0)).alias("n_links"), "n_same"), "facts")
     hexed = F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint")
     return prints.join(facts, "fp").select("doc_id", hexed, "component_id", "n_links", "n_same")
-
-
-def keep_one(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """``docs`` with one document of each component: the one that names it. Rows without doc_id stay."""
-    found = near_duplicates(docs, text=text, doc_id=doc_id)
-    first = found.where("doc_id = component_id").select(F.col("doc_id").alias(doc_id)).distinct()
-    return docs.where(F.col(doc_id).isNotNull()).join(first, doc_id, "left_semi").unionByName(docs.where(F.col(doc_id).isNull()))

@@ -1,56 +1,5 @@
-"""The corpus pipeline: from raw documents to token ids, one operator a stage."""
+"""The corpus pipeline; its stages are in ``catalume.llm.pipeline``."""
 
-from __future__ import annotations
+from catalume.llm.pipeline import ORACLE_SQL, STAGES, run
 
-from pyspark.sql import DataFrame, SparkSession
-
-from catalume.llm import bpe, decontaminate, jaccard, quality, surrogates
-from catalume.llm.common import new_path, table
-from catalume.llm.queries import SECRET, pattern, ranks
-
-
-def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier keeps; what it learns from are the labels of this table."""
-    rated = quality.classify(docs, table(spark, sf_dir, "labels"), keep=tuple(docs.columns))
-    return rated.where("kept").select(*docs.columns)
-
-
-def keep_distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates (five-word shingles, Jaccard 0.8 or more): the one with the least doc_id."""
-    return jaccard.keep_one(docs).select(*docs.columns)
-
-
-def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no test item."""
-    return decontaminate.drop_contaminated(docs, table(spark, sf_dir, "benchmark")).select(*docs.columns)
-
-
-def replace_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, with surrogates for personal data and secrets."""
-    return surrogates.pseudonymise(docs, SECRET, n_chars="n_chars").select(*docs.columns)
-
-
-def to_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents as token ids, with digests of the ids and of what they decode to."""
-    return bpe.encode_documents(docs, ranks(), pattern(), keep=("doc_id", "lang", "source"), digests=True)
-
-
-STAGES = [
-    ("quality classifier", keep_good),
-    ("SimHash near-dedup", keep_distinct),
-    ("benchmark decontamination", drop_leaks),
-    ("PII", replace_personal_data),
-    ("byte-level BPE encoding and decoding", to_tokens),
-]
-
-#: No SQL can express these stages; tests/llm/test_pipeline.py compares them with brute force.
-ORACLE_SQL = None
-
-
-def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES:
-        path = new_path(spark, name.split()[0].lower())
-        stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
-    return docs
+__all__ = ["ORACLE_SQL", "STAGES", "run"]

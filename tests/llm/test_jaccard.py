@@ -2,7 +2,6 @@
 
 import random
 
-import corpus_pipeline
 from catalume.llm import jaccard
 
 
@@ -36,7 +35,7 @@ def test_near_copies_equal_brute_force(spark):
     rng.shuffle(rows)
     rows = [(k, t) for k, (_, t) in enumerate(rows)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    got = [r.doc_id for r in corpus_pipeline.keep_distinct(spark, docs, "").collect()]
+    got = [r.doc_id for r in jaccard.keep_one(docs).collect()]
     assert len(got) == len(set(got)) and set(got) == brute(rows)
     assert jaccard.keep_one(docs.limit(0)).count() == 0
 
@@ -50,4 +49,4 @@ def test_chains_and_common_passages(spark):
         text[5 * k] = word()  # each links to the one before, not to the first
         rows += [(2 * k, " ".join(text)), (2 * k + 1, " ".join(passage + [word() for _ in range(20)]))]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    assert {r.doc_id for r in corpus_pipeline.keep_distinct(spark, docs, "").collect()} == brute(rows)
+    assert {r.doc_id for r in jaccard.keep_one(docs).collect()} == brute(rows)
