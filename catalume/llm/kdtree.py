@@ -3,19 +3,23 @@
 Every node of the tree is split at the weighted median (by bytes) along its widest
 dimension, until it is one shard. The medians of all nodes of a level are found
 together by narrowing histograms: each pass sums bytes in at most ``BINS`` bins of
-a node's interval and keeps the bin that the median falls into. Only sums move;
-no node is ever sorted or gathered. DataFrame functions only.
+a node's interval and keeps the bin that the median falls into; running sums go over
+coarse bins first, then over the fine bins of one. Only sums move; no node is ever
+sorted or gathered. DataFrame functions only.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from catalume.llm.common import stage
 
-BINS = 4096
-#: A row's place in a node is one whole number: the widest dimension, then a hash of the text that keeps copies together, then a hash of the row that lets a large group be cut.
+#: Fine bins of a node's interval in a pass, and how many of them make a coarse one.
+BINS, COARSE = 4096, 64
+#: Bins of a category's hashes, by whose bytes categories get their coordinates.
+CATEGORIES = 4096
+#: A row's place in a node is one whole number: the widest dimension, then a hash of the text that keeps copies together, then a hash of the row's number that lets copies be cut apart.
 DIM_BITS, GROUP_BITS, ROW_BITS = 20, 20, 22
 KEY_BITS = DIM_BITS + GROUP_BITS + ROW_BITS
 #: Buckets of a shard within which rows are numbered.
@@ -31,16 +35,35 @@ def _local(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
 
 
 def metadata(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", source: str = "source", lang: str = "lang") -> DataFrame:
-    """doc_id, size, text_crc32, the dimensions and the hashes that break ties."""
+    """doc_id, size, text_crc32, the dimensions and the hashes that break ties; _id numbers the rows. Written once, so that numbers stay.
+
+    The dimensions: source and language, each by the share of all bytes that lies
+    before it (in an order of hashes), the logarithm of the size, and doc_id (as a
+    number, or a hash of it where it is none).
+    """
     t = F.coalesce(F.col(text), F.lit(""))
     size = F.octet_length(t).cast("long") + 1
-    scaled = lambda c: F.crc32(F.coalesce(c.cast("string"), F.lit("")).cast("binary")).cast("double")
+    category = lambda c: F.crc32(F.coalesce(F.col(c).cast("string"), F.lit("")).cast("binary"))
     low = lambda c, bits: c.bitwiseAND(F.lit((1 << bits) - 1).cast("long"))
-    return docs.select(
-        F.col(doc_id).alias("doc_id"), size.alias("size"), F.crc32(t.cast("binary")).alias("text_crc32"),
-        scaled(F.col(source)).alias("_d0"), scaled(F.col(lang)).alias("_d1"), F.log2(size.cast("double")).alias("_d2"), F.coalesce(F.col(doc_id).cast("double"), F.lit(0.0)).alias("_d3"),
-        low(F.xxhash64(t), GROUP_BITS).alias("_group"), low(F.xxhash64(F.col(doc_id)), ROW_BITS).alias("_row"),
+    number = F.coalesce(F.col(doc_id).try_cast("double"), F.crc32(F.col(doc_id).cast("string").cast("binary")).cast("double"), F.lit(0.0))
+    rows = stage(
+        docs.select(
+            F.col(doc_id).alias("doc_id"), size.alias("size"), F.crc32(t.cast("binary")).alias("text_crc32"), category(source).alias("_c0"), category(lang).alias("_c1"),
+            F.log2(size.cast("double")).alias("_d2"), number.alias("_d3"), low(F.xxhash64(t), GROUP_BITS).alias("_group"), F.monotonically_increasing_id().alias("_id"),
+        ), "metadata",
     )
+    for k in (0, 1):
+        rows = rows.join(F.broadcast(_shares(rows, f"_c{k}", k)), F.pmod(f"_c{k}", F.lit(CATEGORIES)) == F.col(f"_bin{k}"))
+        inside = F.floor(F.col(f"_c{k}") / CATEGORIES) / float((1 << 32) // CATEGORIES)
+        rows = rows.withColumn(f"_d{k}", F.col(f"_before{k}") + inside * F.col(f"_share{k}"))
+    return rows.select("doc_id", "size", "text_crc32", *DIMENSIONS, "_group", low(F.xxhash64("_id"), ROW_BITS).alias("_row"), "_id")
+
+
+def _shares(rows: DataFrame, category: str, k: int) -> DataFrame:
+    """Each bin of category hashes with its share of the bytes and the share before it: at most ``CATEGORIES`` rows."""
+    bins = rows.groupBy(F.pmod(category, F.lit(CATEGORIES)).alias(f"_bin{k}")).agg(F.sum("size").cast("double").alias("_bytes"))
+    all_bytes, upto = F.sum("_bytes").over(Window.partitionBy()), F.sum("_bytes").over(Window.orderBy(f"_bin{k}"))
+    return bins.select(f"_bin{k}", (F.col("_bytes") / all_bytes).alias(f"_share{k}"), ((upto - F.col("_bytes")) / all_bytes).alias(f"_before{k}"))
 
 
 def _widest(rows: DataFrame, open_nodes: dict[int, int], scale: list[float]) -> dict[int, tuple[int, float, float, int]]:
@@ -68,13 +91,14 @@ def _medians(keyed: DataFrame, goals: dict[int, float], tolerance: float) -> dic
             keyed.join(F.broadcast(at), "_node").where((F.col("_key") >= F.col("_from")) & (F.col("_key") < F.col("_to")))
             .groupBy("_node", F.expr("(_key - _from) div _width").alias("_bin")).agg(F.sum("size").alias("_bytes"))
         )
-        # at most BINS rows for each node: the bin where the running sum passes the goal
+        # where the running sum passes the goal: among the coarse bins, then among the fine ones of that
         goal = _local(spark, [(n, goals[n] - inside[n][2]) for n in inside], "_node bigint, _goal double")
-        running = F.sum("_bytes").over(_by_node("_bin"))
-        crossing = (
-            bins.withColumn("_upto", running).join(F.broadcast(goal), "_node").where((F.col("_upto") >= F.col("_goal")))
-            .groupBy("_node").agg(F.min(F.struct("_bin", "_bytes", "_upto")).alias("b")).select("_node", "b.*").collect()
-        )
+        bins = stage(bins, "bins")
+        coarse = bins.groupBy("_node", F.expr(f"_bin div {COARSE}").alias("_coarse")).agg(F.sum("_bytes").alias("_bytes"))
+        passing = _crossing(coarse.join(F.broadcast(goal), "_node"), "_coarse")
+        rest = passing.select("_node", F.col("_bin").alias("_coarse"), (F.col("_goal") - F.col("_upto") + F.col("_bytes")).alias("_goal"), (F.col("_upto") - F.col("_bytes")).alias("_less"))
+        fine = bins.withColumn("_coarse", F.expr(f"_bin div {COARSE}")).join(F.broadcast(rest), ["_node", "_coarse"])
+        crossing = _crossing(fine, "_bin").join(F.broadcast(rest.select("_node", "_less")), "_node").select("_node", "_bin", "_bytes", F.col("_upto") + F.col("_less")).collect()
         seen = {r[0]: r for r in crossing}
         for n in list(inside):
             a, b, before = inside.pop(n)
@@ -91,28 +115,32 @@ def _medians(keyed: DataFrame, goals: dict[int, float], tolerance: float) -> dic
     return cuts
 
 
-def _by_node(order: str):
-    from pyspark.sql import Window
-
-    return Window.partitionBy("_node").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+def _crossing(bins: DataFrame, order: str) -> DataFrame:
+    """(_node, _goal, _bin, _bytes, _upto): the first of each node's ``bins`` by ``order`` whose running sum reaches the node's goal."""
+    running = F.sum("_bytes").over(Window.partitionBy("_node").orderBy(order).rowsBetween(Window.unboundedPreceding, 0))
+    reached = bins.withColumn("_upto", running).where(F.col("_upto") >= F.col("_goal"))
+    return reached.groupBy("_node").agg(F.first("_goal").alias("_goal"), F.min(F.struct(F.col(order).alias("_bin"), "_bytes", "_upto")).alias("b")).select("_node", "_goal", "b.*")
 
 
 def kd_shards(docs: DataFrame, shards: int = 16, *, tolerance: float = 0.0005, target_bytes: int | None = None, max_shards: int = 4096, **columns: str) -> DataFrame:
     """Put every row into one of ``shards`` shards of near-equal size in bytes.
 
-    With ``target_bytes`` the number of shards follows from the total size, up to
-    ``max_shards`` (that many rows describe the tree on the driver). Returns
+    With ``target_bytes`` the number of shards follows from the total size; more than
+    ``max_shards`` raise, as so many rows describe the tree on the driver. Returns
     doc_id, size (UTF-8 bytes of the text plus 1; null text counts as empty),
     text_crc32, shard from 0 and slot (gapless from 0 in each shard). Along a
     dimension, rows with equal values are ordered by a hash of the text, so that
-    copies with equal metadata are cut apart only where a shard must end. Rows
-    with the same doc_id and text can't be told apart and stay together. Null source, lang or doc_id count
-    as empty or 0. An empty table gives an empty result. Other columns are ignored.
+    copies with equal metadata are cut apart only where a shard must end; then by a
+    hash of the row's number, so that even rows that are equal in all columns are
+    cut where it must be. Null source, lang or doc_id count as empty or 0; a doc_id
+    may be of any type that casts to a string. An empty table gives an empty result. Other columns are ignored.
     """
     rows = stage(metadata(docs, **columns).withColumn("_node", F.lit(0).cast("long")), "kdtree")
     total, *spans = rows.agg(F.sum("size"), *[F.max(d) - F.min(d) for d in DIMENSIONS]).first()
     if target_bytes:
-        shards = min(max_shards, max(1, -(-(total or 0) // target_bytes)))
+        shards = max(1, -(-(total or 0) // target_bytes))
+        if shards > max_shards:
+            raise ValueError(f"{shards} shards of {target_bytes} bytes; max_shards is {max_shards}")
     leaves = {0: (0, shards)}  # node: its first shard and how many shards it becomes
     names = 1
     while total and (split := {n: k for n, (_, k) in leaves.items() if k > 1}):
@@ -139,17 +167,15 @@ def kd_shards(docs: DataFrame, shards: int = 16, *, tolerance: float = 0.0005, t
             .drop("_key", "_cut", "_left", "_right"), "kdtree",
         )
     at = _local(rows.sparkSession, [(n, first) for n, (first, _) in leaves.items()], "_node bigint, shard int")
-    placed = rows.join(F.broadcast(at), "_node").select("doc_id", "size", "text_crc32", "shard", "_row")
-    return number_slots(placed, F.pmod(F.xxhash64("_row", "text_crc32"), F.lit(SLOT_BUCKETS))).drop("_row")
+    placed = rows.join(F.broadcast(at), "_node").select("doc_id", "size", "text_crc32", "shard", "_id")
+    return number_slots(placed, F.pmod(F.xxhash64("_id"), F.lit(SLOT_BUCKETS))).drop("_id")
 
 
 def number_slots(placed: DataFrame, bucket: Column) -> DataFrame:
-    """Add ``slot``: rows are numbered within small hashed buckets, and buckets start where the ones before end."""
-    from pyspark.sql import Window
-
+    """Add ``slot`` to rows (shard, _id): rows are numbered within small hashed buckets, and buckets start where the ones before end."""
     placed = placed.withColumn("_bucket", bucket)
     own = Window.partitionBy("shard", "_bucket")
-    rank = F.row_number().over(own.orderBy("doc_id", "text_crc32"))
+    rank = F.row_number().over(own.orderBy("_id"))
     sizes = placed.groupBy("shard", "_bucket").agg(F.count(F.lit(1)).alias("_n"))
     before = F.sum("_n").over(Window.partitionBy("shard").orderBy("_bucket")) - F.col("_n")
     starts = sizes.select("shard", "_bucket", before.alias("_before"))
