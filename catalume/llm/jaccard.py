@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from catalume.llm import simhash
-from catalume.llm.common import free_name, release, stage
+from catalume.llm.common import discard, free_name, release, stage
 from catalume.llm.simhash import SEED, components
 
 WIDTH, LEAST = 5, 0.8
@@ -31,6 +31,8 @@ WIDTH, LEAST = 5, 0.8
 BUCKETS = 1 << 16
 #: Words that a task remembers.
 CACHE = 200_000
+#: Shingles that are broadcast at most.
+FEW = 500_000
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -134,7 +136,9 @@ def _verified(pairs: DataFrame, rows: DataFrame, width: int, least: float) -> Da
     needed = stage(needed, "compared")
     text = lambda c: needed.select(F.col("row").alias(c), F.col("text").alias(f"text_{c}"))
     both = pairs.join(text("a"), "a").join(text("b"), "b").select("a", "b", "text_a", "text_b")
-    return stage(both.mapInArrow(run, "a long, b long"), "alike")
+    alike_pairs = stage(both.mapInArrow(run, "a long, b long"), "alike")
+    discard(needed)
+    return alike_pairs
 
 
 def _grouped(rows: DataFrame, links: DataFrame) -> DataFrame:
@@ -154,34 +158,43 @@ def near_copies(rows: DataFrame, *, width: int = WIDTH, least: float = LEAST) ->
     single = found.join(folded.select(F.col("at.row").alias("row")), "row", "left_semi")
     fits = lambda x, y: F.least(x, y) >= F.greatest(x, y) * least - 1e-9
     # SimHash first: texts of one fingerprint with the least of them, and fingerprints that multi-index hashing links
-    prints = stage(single.select("row", "size", "fp"), "prints")
-    least_of = stage(prints.groupBy("fp").agg(F.min("row").alias("row")), "leasts")
+    facts = stage(single.select("row", "size", "typical", "fp"), "facts")
+    least_of = stage(facts.groupBy("fp").agg(F.min("row").alias("row")), "leasts")
     leader = lambda fp, row: least_of.select(F.col("fp").alias(fp), F.col("row").alias(row))
     near = simhash.links(least_of).withColumnsRenamed({"a": "fa", "b": "fb"}).join(leader("fa", "a"), "fa").join(leader("fb", "b"), "fb").select("a", "b")
-    same = prints.join(leader("fp", "a"), "fp").where(F.col("a") < F.col("row")).select("a", F.col("row").alias("b"))
+    same = facts.join(leader("fp", "a"), "fp").where(F.col("a") < F.col("row")).select("a", F.col("row").alias("b"))
     hashed = _verified(stage(near.unionByName(same), "hashed"), rows, width, least)
-    # then the typical text of each shingle that several groups have early
-    filed = _grouped(single, hashed).select("row", "size", "typical", "group", F.posexplode("prefix").alias("pos", "key"))
-    early = lambda x, p, y, q: F.least(x - p, y - q) >= least / (1 + least) * (x + y) - 1e-9
+    # the shingles that texts of several groups have early; only these rows go on, and hardly any text has many
+    grouped = stage(_grouped(facts.drop("fp"), hashed), "grouped")
+    filed = found.select("row", F.posexplode("prefix").alias("pos", "key"))
+    keys = single.select("row", "prefix").join(grouped.select("row", "group"), "row").select("group", F.explode("prefix").alias("key"))
+    mixed = stage(keys.groupBy("key").agg(F.min("group").alias("low"), F.max("group").alias("high")).where("low <> high").select("key"), "mixed")
+    some = F.broadcast(mixed) if mixed.count() <= FEW else mixed
+    early = filed.join(some, "key", "left_semi").join(grouped, "row")  # of copies, the one that stands for them
+    met = stage(early, "met")
+    ahead = lambda x, p, y, q: F.least(x - p, y - q) >= least / (1 + least) * (x + y) - 1e-9
+    # each against the typical text that has the shingle
     hub = F.max(F.struct("typical", *[F.col(c).alias(f"hub_{c}") for c in ("row", "size", "pos", "group")]))
-    keys = filed.groupBy("key").agg(F.min("group").alias("low"), F.max("group").alias("high"), hub.alias("hub")).where("low <> high")
-    met = stage(filed.drop("typical").join(keys.select("key", "hub.*").drop("typical"), "key"), "met")
-    possible = (F.col("group") != F.col("hub_group")) & fits(F.col("size"), F.col("hub_size")) & early(F.col("size"), F.col("pos"), F.col("hub_size"), F.col("hub_pos"))
-    stars = stage(met.where(possible).select(F.col("hub_row").alias("a"), F.col("row").alias("b")).distinct(), "stars")
+    hubs = met.groupBy("key").agg(hub.alias("hub")).select("key", "hub.*").drop("typical")
+    possible = (F.col("group") != F.col("hub_group")) & fits(F.col("size"), F.col("hub_size")) & ahead(F.col("size"), F.col("pos"), F.col("hub_size"), F.col("hub_pos"))
+    stars = stage(met.join(hubs, "key").where(possible).select(F.col("hub_row").alias("a"), F.col("row").alias("b")).distinct(), "stars")
     links = hashed.unionByName(_verified(stars, rows, width, least))
     # what the stars left apart
     apart = stage(_grouped(met.select("key", "row", "size", "pos"), links), "apart")
     mixed = apart.groupBy("key").agg(F.min("group").alias("low"), F.max("group").alias("high")).where("low <> high").select("key")
     left = apart.join(mixed, "key", "left_semi").select("key", "row", "size", "pos", "group")
     right = left.select("key", *[F.col(c).alias(f"{c}_b") for c in ("row", "size", "pos", "group")])
-    both = left.join(right, "key").where((F.col("row") < F.col("row_b")) & (F.col("group") != F.col("group_b")) & fits(F.col("size"), F.col("size_b")) & early(F.col("size"), F.col("pos"), F.col("size_b"), F.col("pos_b")))
+    both = left.join(right, "key").where((F.col("row") < F.col("row_b")) & (F.col("group") != F.col("group_b")) & fits(F.col("size"), F.col("size_b")) & ahead(F.col("size"), F.col("pos"), F.col("size_b"), F.col("pos_b")))
     pairs = both.select(F.col("row").alias("a"), F.col("row_b").alias("b")).distinct()
     tested = stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    more = _verified(stage(pairs.join(tested, ["a", "b"], "left_anti"), "pairs"), rows, width, least)
+    pairs = stage(pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
+    more = _verified(pairs, rows, width, least)
     roots = stage(components(links.unionByName(more)), "roots")
     rooted = folded.join(roots, F.col("at.row") == F.col("node"), "left").select("digest", "at", F.coalesce("root", "at.row").alias("root"))
-    named = stage(rooted.groupBy("root").agg(F.min("at").alias("least")).select("root", F.col("least.row").alias("first")), "named")
-    return found.select("row", "digest").join(rooted.join(named, "root").select("digest", "first"), "digest").select("row", "first")
+    named = rooted.groupBy("root").agg(F.min("at").alias("least")).select("root", F.col("least.row").alias("first"))
+    out = stage(found.select("row", "digest").join(rooted.join(named, "root").select("digest", "first"), "digest").select("row", "first"), "firsts")
+    discard(found, folded, facts, least_of, grouped, met, stars, apart, pairs, roots)
+    return out
 
 
 def keep_one(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", width: int = WIDTH, least: float = LEAST) -> DataFrame:
