@@ -53,6 +53,14 @@ mutual AS (SELECT x.r1, x.r2, x.score AS k12, y.score AS k21, (x.score + y.score
 """
 
 
+#: What each recipe's lines come to at every ancestor and at the node itself; scores follow from what two recipes share.
+_OWN = """counted AS MATERIALIZED (SELECT recipe_id, node_id, count(*) AS n FROM scorable GROUP BY 1, 2),
+own AS MATERIALIZED (SELECT recipe_id, key, max(gain) AS gain, sum(n) AS n FROM (
+  SELECT recipe_id, 'a:' || ancestor_id AS key, pow(0.5::DOUBLE, depth - 1) AS gain, n FROM counted JOIN closure USING (node_id)
+  UNION ALL SELECT recipe_id, 'n:' || node_id, pow(0.5::DOUBLE, len(path) - 1), n FROM counted JOIN paths USING (node_id)) GROUP BY 1, 2),
+sizes AS MATERIALIZED (SELECT recipe_id, sum(n) AS size FROM counted GROUP BY 1)"""
+
+
 class Tables(catalog.OrderCatalog):
     """The order catalog with what many queries need."""
 
@@ -252,15 +260,21 @@ def j4_similarity(t: Tables) -> DataFrame:
     return found.select("r1", "r2", *[F.round(c, 12).alias(c) for c in ("k12", "k21", "score")])
 
 
-@query()
+_HALF = "floor({0} * 10000.0::DOUBLE + 0.50000001::DOUBLE) / 10000.0::DOUBLE AS {0}"
+
+
+@query(WITH + "," + _SUPPLIER + _scores("supplied") + f"SELECT r1, r2, {', '.join(_HALF.format(c) for c in ('k12', 'k21', 'score'))} FROM mutual")
 def j5_score_all(t: Tables) -> DataFrame:
-    """Suppliers are the recipes. No SQL: half a unit in the fourth place may round either way between engines; j4 has the exact values."""
+    """Suppliers are the recipes."""
     return j.score_all(t.supplier_lines, t.nodes, t.paths)
 
 
-@query()
+@query(WITH + f""", {_OWN}, asked AS (SELECT o_orderkey AS o, CAST(o_orderkey AS STRING) AS r1 FROM orders WHERE o_orderkey % 100 = 0),
+met AS (SELECT x.recipe_id AS r1, y.recipe_id AS r2, sum(x.gain * x.n) AS w1, sum(y.gain * y.n) AS w2 FROM own x JOIN own y USING (key) WHERE x.recipe_id IN (SELECT r1 FROM asked) AND x.recipe_id <> y.recipe_id GROUP BY 1, 2),
+scored AS (SELECT r1, r2, round((w1 / x.size + w2 / y.size) / 2 - 1, 12) AS score FROM met JOIN sizes x ON x.recipe_id = r1 JOIN sizes y ON y.recipe_id = r2)
+SELECT r1, r2, score, CAST(rank AS INT) AS rank FROM (SELECT r1, r2, score, row_number() OVER (PARTITION BY r1 ORDER BY score DESC, CAST(r2 AS BIGINT)) AS rank FROM scored) WHERE rank <= 10""")
 def j6_find_similar(t: Tables) -> DataFrame:
-    """Every hundredth order's ten most similar among all orders. SQL takes too long on whole tables; see the tests."""
+    """Every hundredth order's ten most similar among all orders."""
     return j.find_similar(t.recipes.where("ord % 100 = 0"), t.recipes, t.lines, t.nodes, t.paths, k=10)
 
 
@@ -269,10 +283,11 @@ def j7_recipe_pairs(t: Tables) -> DataFrame:
     return j.recipe_pairs(t.suppliers)
 
 
-@query(WITH + """, held AS (SELECT DISTINCT recipe_id, path[4] AS key FROM scorable JOIN paths USING (node_id) WHERE len(path) >= 4), cand AS (SELECT DISTINCT x.recipe_id AS r1, y.recipe_id AS r2 FROM held x JOIN held y USING (key) WHERE x.recipe_id < y.recipe_id),
-both_ways AS (SELECT r1, r2 FROM cand UNION ALL SELECT r2, r1 FROM cand), w AS (SELECT recipe_id, node_id, count(*) AS n FROM scorable GROUP BY 1, 2), sizes AS (SELECT recipe_id, count(*) AS size FROM scorable GROUP BY 1),
-b AS (SELECT r1, r2, x.node_id, x.n, max(CASE WHEN x.node_id = y.node_id THEN 1.0 ELSE 1.0 - pow(0.5::DOUBLE, len(list_intersect(p.path, q.path)) - 1) END) AS s FROM both_ways JOIN w x ON x.recipe_id = r1 JOIN w y ON y.recipe_id = r2 JOIN paths p ON p.node_id = x.node_id JOIN paths q ON q.node_id = y.node_id GROUP BY 1, 2, 3, 4),
-k AS (SELECT r1, r2, sum(s * n) / max(size) AS s FROM b JOIN sizes ON recipe_id = r1 GROUP BY 1, 2), m AS (SELECT x.r1, x.r2, (x.s + y.s) / 2 AS score FROM k x JOIN k y ON x.r1 = y.r2 AND x.r2 = y.r1 WHERE x.r1 < x.r2)
+@query(WITH + f""", {_OWN}, held AS (SELECT DISTINCT recipe_id, path[4] AS key FROM scorable JOIN paths USING (node_id) WHERE len(path) >= 4),
+cand AS MATERIALIZED (SELECT DISTINCT x.recipe_id AS r1, y.recipe_id AS r2 FROM held x JOIN held y USING (key) WHERE x.recipe_id < y.recipe_id),
+worth AS MATERIALIZED (SELECT recipe_id, hash(key) AS key, gain * n AS w FROM own), one AS MATERIALIZED (SELECT r1, r2, key, w AS w1 FROM cand JOIN worth ON recipe_id = r1),
+met AS MATERIALIZED (SELECT r1, r2, sum(w1) AS w1, sum(w) AS w2 FROM one JOIN worth ON worth.recipe_id = one.r2 AND worth.key = one.key GROUP BY 1, 2),
+m AS (SELECT r1, r2, (w1 / x.size + w2 / y.size) / 2 - 1 AS score FROM met JOIN sizes x ON x.recipe_id = r1 JOIN sizes y ON y.recipe_id = r2)
 SELECT r1, r2, round(score, 12) AS score, round(0.5 * e / (0.5 + 0.5 * e), 6) AS weight FROM (SELECT *, exp((score - 0.7) * (ln(2) / 0.03)) AS e FROM m)""")
 def j8_similarity_edges(t: Tables) -> DataFrame:
     """Orders that share a part's name, scored exactly."""
@@ -297,7 +312,7 @@ def g2_recipe_graph(t: Tables) -> DataFrame:
 
 
 def _union(t: Tables) -> DataFrame:
-    return g.union_graph(t.pairs, g.recipe_graph(t.lines, t.nodes, t.paths))
+    return g.union_graph(t.pairs, g.packed_graphs(t.lines, t.nodes, t.paths))
 
 
 @query("SELECT pair_id, src, dst FROM edges3")
@@ -326,20 +341,62 @@ def g6_reachable(t: Tables) -> DataFrame:
 
 
 def _overlaps(t: Tables, **options) -> DataFrame:
-    return g.overlap_graph(t.pairs, g.recipe_graph(t.lines, t.nodes, t.paths), p.recipe_ingredients(t.lines, t.nodes), **options)
+    return g.overlap_graph(t.pairs, g.packed_graphs(t.lines, t.nodes, t.paths), p.recipe_ingredients(t.lines, t.nodes), **options)
+
+
+#: Passes that the SQL of the prunings unrolls; the last ones must change nothing.
+ISOLATED, TAILS = 4, 14
+_ENDS = "named AS MATERIALIZED (SELECT r1 || '+' || r2 AS pair_id, r1, r2, 'R:' || r1 AS one, 'R:' || r2 AS two FROM pairs), e0 AS MATERIALIZED (SELECT * FROM edges3)"
+
+
+def _without_gone(old: str, new: str, gone: str) -> str:
+    return f"{new} AS MATERIALIZED (SELECT e.* FROM {old} e LEFT JOIN {gone} x ON x.pair_id = e.pair_id AND x.node = e.src LEFT JOIN {gone} y ON y.pair_id = e.pair_id AND y.node = e.dst WHERE x.node IS NULL AND y.node IS NULL)"
+
 
+def _isolated(old: str, new: str) -> str:
+    """One pass of G7: nodes with several ways out must reach either recipe while the other is closed."""
 
-@query()
+    def walk(name: str, start: str, shut: str) -> str:
+        return f"{name} AS (SELECT pair_id, {start} AS node FROM named UNION SELECT u.pair_id, u.y FROM {name} t JOIN both_{new} u ON u.pair_id = t.pair_id AND u.x = t.node JOIN named p ON p.pair_id = u.pair_id WHERE u.y <> p.{shut})"
+
+    return f"""both_{new} AS MATERIALIZED (SELECT pair_id, src AS x, dst AS y FROM {old} UNION SELECT pair_id, dst, src FROM {old}),
+{walk(f'to1_{new}', 'one', 'two')}, {walk(f'to2_{new}', 'two', 'one')},
+gone_{new} AS MATERIALIZED (SELECT pair_id, src AS node FROM {old} GROUP BY 1, 2 HAVING count(*) > 1 EXCEPT (SELECT pair_id, node FROM to1_{new} INTERSECT SELECT pair_id, node FROM to2_{new})), {_without_gone(old, new, f'gone_{new}')}"""
+
+
+def _tails(old: str, new: str) -> str:
+    """One pass of G8: nodes with one neighbour that is neither recipe."""
+    return f"""both_{new} AS MATERIALIZED (SELECT pair_id, src AS x, dst AS y FROM {old} UNION SELECT pair_id, dst, src FROM {old}),
+gone_{new} AS MATERIALIZED (SELECT pair_id, x AS node FROM both_{new} JOIN named USING (pair_id) GROUP BY 1, 2 HAVING count(*) = 1 AND NOT bool_or(y = one OR y = two)), {_without_gone(old, new, f'gone_{new}')}"""
+
+
+def _passes(isolated: int, tails: int) -> str:
+    names = [f"e{i}" for i in range(isolated + tails + 1)]
+    return WITH + ", " + ", ".join([_ENDS, *[(_isolated if i < isolated else _tails)(names[i], names[i + 1]) for i in range(isolated + tails)]])
+
+
+@query(_passes(ISOLATED, 0) + f"SELECT pair_id, src, dst FROM e{ISOLATED}")
 def g7_remove_isolated(t: Tables) -> DataFrame:
     return _overlaps(t, tails=False).select("pair_id", "src", "dst")
 
 
-@query()
+@query(_passes(0, TAILS) + f"SELECT pair_id, src, dst FROM e{TAILS}")
 def g8_remove_tails(t: Tables) -> DataFrame:
     return _overlaps(t, isolated=False).select("pair_id", "src", "dst")
 
 
-@query()
+_LAST = f"e{ISOLATED + TAILS}"
+
+
+@query(_passes(ISOLATED, TAILS) + f""", back1 AS (SELECT pair_id, one AS node FROM named UNION SELECT e.pair_id, e.src FROM back1 t JOIN {_LAST} e ON e.pair_id = t.pair_id AND e.dst = t.node),
+back2 AS (SELECT pair_id, two AS node FROM named UNION SELECT e.pair_id, e.src FROM back2 t JOIN {_LAST} e ON e.pair_id = t.pair_id AND e.dst = t.node),
+outs AS (SELECT pair_id, src AS node, count(*) AS o FROM {_LAST} GROUP BY 1, 2), lists AS (SELECT recipe_id, string_agg(node_id, '|' ORDER BY pos) AS l FROM lines GROUP BY 1), used AS (SELECT DISTINCT recipe_id, node_id AS node FROM lines),
+ends AS (SELECT DISTINCT pair_id, node FROM (SELECT pair_id, src AS node FROM {_LAST} UNION ALL SELECT pair_id, dst FROM {_LAST})),
+roles AS MATERIALIZED (SELECT e.pair_id, e.node, CASE WHEN coalesce(o, 0) >= 2 AND u1.node IS NULL AND u2.node IS NULL AND b1.node IS NOT NULL AND b2.node IS NOT NULL THEN 'top' WHEN e.node = n.one THEN 'recipe1' WHEN e.node = n.two THEN 'recipe2'
+    WHEN u1.node IS NOT NULL AND u2.node IS NOT NULL AND coalesce(l1.l, '') <> coalesce(l2.l, '') THEN 'common' WHEN u1.node IS NOT NULL THEN 'recipe1_ingredient' WHEN u2.node IS NOT NULL THEN 'recipe2_ingredient' ELSE 'other' END AS role
+  FROM ends e JOIN named n USING (pair_id) LEFT JOIN outs ON outs.pair_id = e.pair_id AND outs.node = e.node LEFT JOIN used u1 ON u1.recipe_id = n.r1 AND u1.node = e.node LEFT JOIN used u2 ON u2.recipe_id = n.r2 AND u2.node = e.node
+  LEFT JOIN back1 b1 ON b1.pair_id = e.pair_id AND b1.node = e.node LEFT JOIN back2 b2 ON b2.pair_id = e.pair_id AND b2.node = e.node LEFT JOIN lists l1 ON l1.recipe_id = n.r1 LEFT JOIN lists l2 ON l2.recipe_id = n.r2)
+SELECT e.pair_id, n.r1, n.r2, e.src, e.dst, s.role AS src_role, d.role AS dst_role FROM {_LAST} e JOIN named n USING (pair_id) JOIN roles s ON s.pair_id = e.pair_id AND s.node = e.src JOIN roles d ON d.pair_id = e.pair_id AND d.node = e.dst""")
 def g9_overlap_graph(t: Tables) -> DataFrame:
     return _overlaps(t)
 
@@ -353,7 +410,7 @@ FROM ends e JOIN named USING (pair_id) LEFT JOIN outs ON outs.pair_id = e.pair_i
 LEFT JOIN above a1 ON a1.recipe_id = r1 AND a1.node = e.node LEFT JOIN above a2 ON a2.recipe_id = r2 AND a2.node = e.node""")
 def g10_node_roles(t: Tables) -> DataFrame:
     """Roles on the unpruned union graphs."""
-    return g.union_roles(t.pairs, g.recipe_graph(t.lines, t.nodes, t.paths), p.recipe_ingredients(t.lines, t.nodes))
+    return g.union_roles(t.pairs, g.packed_graphs(t.lines, t.nodes, t.paths), p.recipe_ingredients(t.lines, t.nodes))
 
 
 _TOP = "(SELECT min(node_id) FROM nodes WHERE parent_id = 'root')"
