@@ -31,8 +31,8 @@ WIDTH, LEAST = 5, 0.8
 BUCKETS = 1 << 16
 #: Words that a task remembers.
 CACHE = 200_000
-#: Shingles that are broadcast at most.
-FEW = 500_000
+#: Bits of the sieve that tells most shingles of one text from those of several; its size doesn't grow with the data.
+BITS = 1 << 25
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -91,7 +91,7 @@ def _popularity(rows: DataFrame, width: int) -> np.ndarray:
 
 
 def _described(rows: DataFrame, width: int, least: float) -> DataFrame:
-    """(row, name, size, digest, fp, typical, prefix) of each row: fp is its SimHash, typical the mean logarithm of its shingles' popularity."""
+    """(row, name, size, digest, code, fp, typical, prefix) of each row: code is a part of the digest, fp the SimHash, typical the mean logarithm of the shingles' popularity."""
     shared = rows.sparkSession.sparkContext.broadcast(_popularity(rows, width))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -110,10 +110,10 @@ def _described(rows: DataFrame, width: int, least: float) -> DataFrame:
                 prints.append(simhash.majority(len(s), [s]))
                 typical.append(float(np.log2(n).mean()) if len(s) else 0.0)
                 prefix.append(s[first].view(np.int64))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(size, pa.int64()), pa.array(digest, pa.binary()), pa.array(np.array(prints, np.uint64).view(np.int64)), pa.array(typical, pa.float64()), pa.array(prefix, pa.list_(pa.int64()))], ["row", "name", "size", "digest", "fp", "typical", "prefix"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(size, pa.int64()), pa.array(digest, pa.binary()), pa.array(np.array([int.from_bytes(x[:8]) for x in digest], np.uint64).view(np.int64)), pa.array(np.array(prints, np.uint64).view(np.int64)), pa.array(typical, pa.float64()), pa.array(prefix, pa.list_(pa.int64()))], ["row", "name", "size", "digest", "code", "fp", "typical", "prefix"])
 
     kind = rows.schema["name"].dataType.simpleString()
-    return stage(rows.select("row", "name", "text").mapInArrow(run, f"row long, name {kind}, size long, digest binary, fp long, typical double, prefix array<long>"), "shingles")
+    return stage(rows.select("row", "name", "text").mapInArrow(run, f"row long, name {kind}, size long, digest binary, code long, fp long, typical double, prefix array<long>"), "shingles")
 
 
 def _verified(pairs: DataFrame, rows: DataFrame, width: int, least: float) -> DataFrame:
@@ -141,6 +141,28 @@ def _verified(pairs: DataFrame, rows: DataFrame, width: int, least: float) -> Da
     return alike_pairs
 
 
+def _sieved(found: DataFrame, shared: DataFrame) -> DataFrame:
+    """(row, pos, key) of the prefixes in ``found`` for all keys that are ``shared``, and few others: what a bitmap of fixed size lets through."""
+    word = F.shiftrightunsigned(F.col("key").bitwiseAND(F.lit(BITS - 1).cast("long")), 6)
+    bit = F.expr("bit_or(shiftleft(1L, CAST(key & 63 AS INT)))")
+    got = shared.groupBy(word.alias("word")).agg(bit.alias("bits")).toArrow()  # at most BITS / 64 rows
+    bits = np.zeros(BITS // 64, np.uint64)
+    bits[got.column("word").to_numpy()] = got.column("bits").to_numpy().view(np.uint64)
+    sieve = found.sparkSession.sparkContext.broadcast(bits)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
+        for batch in batches:
+            ends = batch.column(1).offsets.to_numpy()
+            keys = batch.column(1).flatten().to_numpy()
+            place = keys.view(np.uint64) & np.uint64(BITS - 1)
+            at = np.flatnonzero(sieve.value[place >> np.uint64(6)] >> (place & np.uint64(63)) & np.uint64(1))
+            row = np.searchsorted(ends, at, side="right") - 1
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row)), pa.array((at - ends[row]).astype(np.int32)), pa.array(keys[at])], ["row", "pos", "key"])
+
+    return found.select("row", "prefix").mapInArrow(run, "row long, pos int, key long")
+
+
 def _grouped(rows: DataFrame, links: DataFrame) -> DataFrame:
     """``rows`` (row, ...) with the group that ``links`` (a, b) put each into; its own where it has no link."""
     group = components(links).select(F.col("node").alias("row"), F.col("root").alias("group"))
@@ -164,14 +186,14 @@ def near_copies(rows: DataFrame, *, width: int = WIDTH, least: float = LEAST) ->
     near = simhash.links(least_of).withColumnsRenamed({"a": "fa", "b": "fb"}).join(leader("fa", "a"), "fa").join(leader("fb", "b"), "fb").select("a", "b")
     same = facts.join(leader("fp", "a"), "fp").where(F.col("a") < F.col("row")).select("a", F.col("row").alias("b"))
     hashed = _verified(stage(near.unionByName(same), "hashed"), rows, width, least)
-    # the shingles that texts of several groups have early; only these rows go on, and hardly any text has many
+    # the shingles that several texts have early: only keys travel, then the few rows that have one of them
+    keys = found.select("code", F.explode("prefix").alias("key")).groupBy("key").agg(F.min("code").alias("low"), F.max("code").alias("high"))
+    shared = stage(keys.where("low <> high").select("key"), "shared")
+    filed = _sieved(found, shared).join(shared, "key", "left_semi")
     grouped = stage(_grouped(facts.drop("fp"), hashed), "grouped")
-    filed = found.select("row", F.posexplode("prefix").alias("pos", "key"))
-    keys = single.select("row", "prefix").join(grouped.select("row", "group"), "row").select("group", F.explode("prefix").alias("key"))
-    mixed = stage(keys.groupBy("key").agg(F.min("group").alias("low"), F.max("group").alias("high")).where("low <> high").select("key"), "mixed")
-    some = F.broadcast(mixed) if mixed.count() <= FEW else mixed
-    early = filed.join(some, "key", "left_semi").join(grouped, "row")  # of copies, the one that stands for them
-    met = stage(early, "met")
+    filed = stage(filed.join(grouped, "row"), "filed")  # of copies, the one that stands for them
+    mixed = filed.groupBy("key").agg(F.min("group").alias("low"), F.max("group").alias("high")).where("low <> high").select("key")
+    met = stage(filed.join(mixed, "key", "left_semi"), "met")
     ahead = lambda x, p, y, q: F.least(x - p, y - q) >= least / (1 + least) * (x + y) - 1e-9
     # each against the typical text that has the shingle
     hub = F.max(F.struct("typical", *[F.col(c).alias(f"hub_{c}") for c in ("row", "size", "pos", "group")]))
@@ -193,7 +215,7 @@ def near_copies(rows: DataFrame, *, width: int = WIDTH, least: float = LEAST) ->
     rooted = folded.join(roots, F.col("at.row") == F.col("node"), "left").select("digest", "at", F.coalesce("root", "at.row").alias("root"))
     named = rooted.groupBy("root").agg(F.min("at").alias("least")).select("root", F.col("least.row").alias("first"))
     out = stage(found.select("row", "digest").join(rooted.join(named, "root").select("digest", "first"), "digest").select("row", "first"), "firsts")
-    discard(found, folded, facts, least_of, grouped, met, stars, apart, pairs, roots)
+    discard(found, folded, facts, least_of, shared, grouped, filed, met, stars, apart, pairs, roots)
     return out
 
 
