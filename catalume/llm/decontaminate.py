@@ -53,12 +53,17 @@ class Items:
         self.names, texts = [], []
         for name, text in rows:
             w = normalised(text)
-            if len(w) >= N:
+            if w:
                 self.names.append(name)
                 texts.append(w)
         self.vocabulary = {w: i for i, w in enumerate(sorted({w for t in texts for w in t}))}
         self.words = [np.array([self.vocabulary[w] for w in t], np.int64) for t in texts]
         self.base = len(self.vocabulary) + 1
+        #: Items too short for a seed, by their words.
+        self.short = defaultdict(list)
+        for i, w in enumerate(self.words):
+            if len(w) < N:
+                self.short[tuple(w.tolist())].append(i)
         holders = defaultdict(set)
         for i, w in enumerate(self.words):
             for s in self.grams(w).tolist():
@@ -107,7 +112,9 @@ def smith_waterman(item: np.ndarray, text: np.ndarray, match: float = 2.0, miss:
 
 
 def aligned(items: Items, ids: np.ndarray, rare: np.ndarray, threshold: float) -> list[tuple[int, float, int, int, int]]:
-    """(item, score, rare seeds, first word, last word) of each item that a text holds."""
+    """(item, score, rare seeds, first word, last word) of each item that a text holds; of items too short for a seed, those that are the whole text."""
+    if 0 < len(ids) < N:
+        return [(i, 1.0, 0, 0, len(ids) - 1) for i in items.short.get(tuple(ids.tolist()), ())]
     at, seeds = items.hits(ids, rare)
     places = defaultdict(list)
     for p, s in zip(at.tolist(), seeds.tolist(), strict=True):
@@ -192,8 +199,8 @@ def contaminated(
 
     score is the alignment's share of a whole copy's score, from ``threshold`` to
     1; words are counted from 0 after normalising. One row for each input row and
-    item, so repeated rows repeat. Null and empty texts hold nothing; items under
-    three words are not searched; repeated items each give rows. An empty table on
+    item, so repeated rows repeat. Null and empty texts hold nothing; items of
+    one or two words are found where they are a whole text; repeated items each give rows. An empty table on
     either side gives an empty result. Other columns are ignored. The items are
     broadcast in parts of at most ``chunk_bytes``; each part reads the documents
     anew.
