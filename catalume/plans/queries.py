@@ -14,6 +14,7 @@ from catalume.operators import nodes as p
 from catalume.operators import similarity as j
 from catalume.operators import strength as a
 from catalume.sources import catalog
+from catalume.sources.shared import new_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -103,6 +104,18 @@ def s2_s3_lines(t: Tables) -> DataFrame:
     return catalog.explode_lines(nested).select("recipe_id", "pos", "node_id", "amount", "unit")
 
 
+@query("SELECT recipe_id, pos, node_id, amount, unit, parent_id, kind FROM lines JOIN nodes USING (node_id)")
+def s4_written_and_loaded(t: Tables) -> DataFrame:
+    """Nodes as Parquet by kind and nested recipes as JSON lines, written, loaded again and joined."""
+    folder = new_folder(t.lines.sparkSession, "catalog")
+    catalog.write_result(t.nodes, f"{folder}/nodes", ["kind"])
+    item = F.struct("pos", F.struct(F.col("node_id").alias("node"), F.struct("amount", "unit").alias("amount_unit")).alias("x"))
+    nested = t.lines.groupBy("recipe_id").agg(F.array_sort(F.collect_list(item)).alias("i")).select("recipe_id", F.col("i.x").alias("ingredients"))
+    nested.write.json(f"{folder}/recipes.jsonl")
+    nodes, recipes = catalog.load_nodes(t.lines.sparkSession, f"{folder}/nodes"), catalog.load_recipes(t.lines.sparkSession, f"{folder}/recipes.jsonl")
+    return catalog.explode_lines(recipes).join(nodes, "node_id").select("recipe_id", "pos", "node_id", "amount", "unit", "parent_id", "kind")
+
+
 @query("SELECT node_id, abv FROM rated")
 def p1_kind_defaults(t: Tables) -> DataFrame:
     return p.with_kind_defaults(t.nodes).select("node_id", "abv")
@@ -113,10 +126,11 @@ def p2_node_registry(t: Tables) -> DataFrame:
     return p.node_registry(t.nodes).select("node_id", "name", "ord")
 
 
-@query(f"SELECT recipe_id, pos, unit, round(amount / per_ml * (1/29.57::DOUBLE), 6) AS oz FROM lines LEFT JOIN {UNITS} u(unit, per_ml) USING (unit) WHERE per_ml IS NOT NULL")
+@query(f"SELECT recipe_id, pos, unit, CASE WHEN per_ml IS NULL THEN -1.0 ELSE round(amount / per_ml * (1/29.57::DOUBLE), 6) END::DOUBLE AS oz FROM lines LEFT JOIN {UNITS} u(unit, per_ml) USING (unit)")
 def p3_convert_volume(t: Tables) -> DataFrame:
+    """All lines; an unknown unit gives NaN, shown as -1 here."""
     oz = t.lines.withColumn("oz", F.round(units.convert_volume("amount", "unit", F.lit("oz")), 6))
-    return oz.where(~F.isnan("oz")).select("recipe_id", "pos", "unit", "oz")
+    return oz.select("recipe_id", "pos", "unit", F.when(F.isnan("oz"), -1.0).otherwise(F.col("oz")).alias("oz"))
 
 
 @query("SELECT node_id, round(cost_oz, 6) AS cost_oz, round(cost_count, 6) AS cost_count FROM priced")
@@ -340,6 +354,14 @@ def g6_reachable(t: Tables) -> DataFrame:
     return g.reachable(edges, starts, "recipe_id").select("recipe_id", "start", "node")
 
 
+@query("SELECT recipe_id, s.node AS start, e.node AS node FROM (SELECT recipe_id, min(src) AS node FROM edges2 WHERE src LIKE 'T:%' GROUP BY 1) s JOIN (SELECT DISTINCT recipe_id, node FROM (SELECT recipe_id, src AS node FROM edges2 UNION ALL SELECT recipe_id, dst FROM edges2)) e USING (recipe_id)")
+def g6_reachable_either_way(t: Tables) -> DataFrame:
+    """What each recipe's first top category reaches in either direction: all of its graph, as every line leads to the recipe."""
+    edges = g.recipe_graph(t.lines, t.nodes, t.paths)
+    starts = edges.where("src LIKE 'T:%'").groupBy("recipe_id").agg(F.min("src").alias("start"))
+    return g.reachable(edges, starts, "recipe_id", directed=False).select("recipe_id", "start", "node")
+
+
 def _overlaps(t: Tables, **options) -> DataFrame:
     return g.overlap_graph(t.pairs, g.packed_graphs(t.lines, t.nodes, t.paths), p.recipe_ingredients(t.lines, t.nodes), **options)
 
@@ -431,8 +453,10 @@ def g12_graph_dataset(t: Tables) -> DataFrame:
     return ends.select("id").join(at, "id").groupBy("id").agg(F.count(F.lit(1)).alias("n_links"))
 
 
-@query("SELECT node_id AS id, CASE WHEN kind = 'Liquor' THEN 'old' ELSE kind END AS label, CASE WHEN kind = 'Liquor' THEN -ord ELSE ord END AS x FROM nodes")
+@query("SELECT node_id AS id, CASE WHEN kind = 'Liquor' THEN 'old 1' ELSE kind END AS label, CASE WHEN kind = 'Liquor' THEN 1 - ord ELSE ord END AS x FROM nodes")
 def g13_carry_forward(t: Tables) -> DataFrame:
+    """Two old records of every liquor, of which the later wins."""
     new = t.nodes.select(F.col("node_id").alias("id"), F.col("kind").alias("label"), F.col("ord").alias("x"))
-    old = t.nodes.where("kind = 'Liquor'").select(F.col("node_id").alias("id"), F.lit("old").alias("label"), (-F.col("ord")).alias("x")).unionByName(new.limit(0))
-    return g.carry_forward(new, old)
+    at = F.explode(F.array(F.lit(1), F.lit(0))).alias("at")
+    old = t.nodes.where("kind = 'Liquor'").select(F.col("node_id").alias("id"), "ord", at).select("id", F.concat(F.lit("old "), "at").alias("label"), (F.col("at") - F.col("ord")).alias("x"), "at")
+    return g.carry_forward(new, old, order="at")

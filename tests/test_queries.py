@@ -1,3 +1,5 @@
+"""Every query against its SQL, on the smallest tables."""
+
 import os
 
 import duckdb
@@ -16,7 +18,11 @@ def con():
     return con
 
 
-@pytest.mark.parametrize("name", ["a1_recipe_abv", "a2_list_abv", "j4_similarity", "g10_node_roles", "h8_cost_guess"])
+def test_every_query_has_sql():
+    assert queries.SQL.keys() == queries.QUERIES.keys()
+
+
+@pytest.mark.parametrize("name", sorted(queries.SQL))
 def test_equals_its_sql(spark, con, name):
     df = queries.QUERIES[name](spark, SF)
     columns = sorted(df.columns)
