@@ -28,6 +28,8 @@ SPAN = 1024
 def write_token_files(docs: DataFrame, path: str, ranks_path: str, pattern: str, *, separator: int, text: str = "text", width: int = 2) -> None:
     """Encode each text and write its ids and ``separator``, ``width`` bytes each.
 
+    A null or empty text is a separator alone; repeated rows are written each time;
+    an empty table writes no document. Other columns are ignored.
     Spark's own text writer does the writing, with the separator's bytes as line
     ends, so the files may lie in any store and failed tasks leave nothing behind.
     """
@@ -106,7 +108,11 @@ def scan_separators(spark: SparkSession, path: str, *, separator: int, width: in
 
 
 def count_documents(docs: DataFrame, ranks_path: str, pattern: str, *, separator: int, text: str = "text", width: int = 2, block_bytes: int = 4 << 20) -> DataFrame:
-    """Write ``docs`` as flat token files in the shared folder and scan them: part long, ordinal, first_token, n_tokens."""
+    """Write ``docs`` as flat token files in the shared folder and scan them: part long, ordinal, first_token, n_tokens.
+
+    One row for each row of ``docs``: null and empty texts have no tokens, repeated
+    rows each have theirs, an empty table gives an empty result.
+    """
     path = new_path(docs.sparkSession, "tokens")
     write_token_files(docs.select(F.col(text).alias(free_name(docs, "text_"))), path, ranks_path, pattern, separator=separator, text=free_name(docs, "text_"), width=width)
     rows = scan_separators(docs.sparkSession, path, separator=separator, width=width, block_bytes=block_bytes)
