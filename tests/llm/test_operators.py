@@ -8,6 +8,7 @@ import zlib
 import duckdb
 import numpy as np
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from catalume.llm import attention, bpe, decontaminate, divergence, kdtree, lm_scoring, quality, quotes, separators, simhash, surrogates
@@ -113,6 +114,22 @@ def test_simhash_equals_brute_force(spark, docs, monkeypatch):
     assert simhash.fingerprint("Ab  c") == simhash.fingerprint("ab\tc") != simhash.fingerprint("ab c d") and simhash.fingerprint(" ") == 0
 
 
+def plain_print(text):
+    """The fingerprint by its definition, bit by bit."""
+    lower = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")
+    w = [x for x in re.split(r"[\x20\x09-\x0D]+", lower) if x]
+    grams = [" ".join(w[i : i + 3]) for i in range(len(w) - 2)] if len(w) >= 3 else [" ".join(w)] if w else []
+    hashes = [xxhash.xxh64(g.encode(), seed=42).intdigest() for g in grams]
+    return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+
+
+def test_fingerprints_by_definition(spark, docs):
+    odd = ["", None, "One", "one TWO", "É é E\u2003x y", "a b c a b c a b c", "\x0b\x0cx\ty\nz\rw"]
+    rows = spark.createDataFrame(list(enumerate(odd)), "doc_id long, text string").unionByName(docs.where("n_chars < 3000").select((F.col("doc_id") + 100).alias("doc_id"), "text").limit(60))
+    text = {r.doc_id: r.text for r in rows.collect()}
+    assert {r.doc_id: r.fingerprint for r in simhash.near_duplicates(rows).collect()} == {i: f"{plain_print(t):016x}" for i, t in text.items()}
+
+
 @pytest.mark.parametrize("crowded", [1000, 2])
 def test_links_lose_nothing(spark, crowded):
     rng = np.random.default_rng(4)
