@@ -31,6 +31,8 @@ WIDTH, LEAST = 5, 0.8
 BUCKETS = 1 << 16
 #: Words that a task remembers.
 CACHE = 200_000
+#: Row numbers that are broadcast at most; more are joined by shuffling the texts.
+FEW = 3_000_000
 #: Bits of the sieve that tells most shingles of one text from those of several; its size doesn't grow with the data.
 BITS = 1 << 25
 MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -132,12 +134,13 @@ def _verified(pairs: DataFrame, rows: DataFrame, width: int, least: float) -> Da
                     keep.append(k)
             yield pa.RecordBatch.from_arrays([pa.array([a[k] for k in keep], pa.int64()), pa.array([b[k] for k in keep], pa.int64())], ["a", "b"])
 
-    needed = rows.select("row", "text").join(pairs.select(F.explode(F.array("a", "b")).alias("row")).distinct(), "row", "left_semi")
+    asked = stage(pairs.select(F.explode(F.array("a", "b")).alias("row")).distinct(), "asked")
+    needed = rows.select("row", "text").join(F.broadcast(asked) if asked.count() <= FEW else asked, "row", "left_semi")
     needed = stage(needed, "compared")
     text = lambda c: needed.select(F.col("row").alias(c), F.col("text").alias(f"text_{c}"))
     both = pairs.join(text("a"), "a").join(text("b"), "b").select("a", "b", "text_a", "text_b")
     alike_pairs = stage(both.mapInArrow(run, "a long, b long"), "alike")
-    discard(needed)
+    discard(asked, needed)
     return alike_pairs
 
 
