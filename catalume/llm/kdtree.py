@@ -91,14 +91,14 @@ def _medians(keyed: DataFrame, goals: dict[int, float], tolerance: float) -> dic
             keyed.join(F.broadcast(at), "_node").where((F.col("_key") >= F.col("_from")) & (F.col("_key") < F.col("_to")))
             .groupBy("_node", F.expr("(_key - _from) div _width").alias("_bin")).agg(F.sum("size").alias("_bytes"))
         )
-        # where the running sum passes the goal: among the coarse bins, then among the fine ones of that
+        # the bin where the running sum passes the goal; sums run over the coarse bins, and over the fine ones in each
         goal = _local(spark, [(n, goals[n] - inside[n][2]) for n in inside], "_node bigint, _goal double")
-        bins = stage(bins, "bins")
-        coarse = bins.groupBy("_node", F.expr(f"_bin div {COARSE}").alias("_coarse")).agg(F.sum("_bytes").alias("_bytes"))
-        passing = _crossing(coarse.join(F.broadcast(goal), "_node"), "_coarse")
-        rest = passing.select("_node", F.col("_bin").alias("_coarse"), (F.col("_goal") - F.col("_upto") + F.col("_bytes")).alias("_goal"), (F.col("_upto") - F.col("_bytes")).alias("_less"))
-        fine = bins.withColumn("_coarse", F.expr(f"_bin div {COARSE}")).join(F.broadcast(rest), ["_node", "_coarse"])
-        crossing = _crossing(fine, "_bin").join(F.broadcast(rest.select("_node", "_less")), "_node").select("_node", "_bin", "_bytes", F.col("_upto") + F.col("_less")).collect()
+        bins = bins.withColumn("_coarse", F.expr(f"_bin div {COARSE}"))
+        coarse = bins.groupBy("_node", "_coarse").agg(F.sum("_bytes").alias("_all"))
+        before = coarse.select("_node", "_coarse", (_running("_all", ["_node"], "_coarse") - F.col("_all")).alias("_less"))
+        upto = bins.withColumn("_part", _running("_bytes", ["_node", "_coarse"], "_bin")).join(before, ["_node", "_coarse"]).withColumn("_upto", F.col("_less") + F.col("_part"))
+        reached = upto.join(F.broadcast(goal), "_node").where(F.col("_upto") >= F.col("_goal"))
+        crossing = reached.groupBy("_node").agg(F.min(F.struct("_bin", "_bytes", "_upto")).alias("b")).select("_node", "b.*").collect()
         seen = {r[0]: r for r in crossing}
         for n in list(inside):
             a, b, before = inside.pop(n)
@@ -115,11 +115,8 @@ def _medians(keyed: DataFrame, goals: dict[int, float], tolerance: float) -> dic
     return cuts
 
 
-def _crossing(bins: DataFrame, order: str) -> DataFrame:
-    """(_node, _goal, _bin, _bytes, _upto): the first of each node's ``bins`` by ``order`` whose running sum reaches the node's goal."""
-    running = F.sum("_bytes").over(Window.partitionBy("_node").orderBy(order).rowsBetween(Window.unboundedPreceding, 0))
-    reached = bins.withColumn("_upto", running).where(F.col("_upto") >= F.col("_goal"))
-    return reached.groupBy("_node").agg(F.first("_goal").alias("_goal"), F.min(F.struct(F.col(order).alias("_bin"), "_bytes", "_upto")).alias("b")).select("_node", "_goal", "b.*")
+def _running(x: str, by: list[str], order: str) -> Column:
+    return F.sum(x).over(Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, 0))
 
 
 def kd_shards(docs: DataFrame, shards: int = 16, *, tolerance: float = 0.0005, target_bytes: int | None = None, max_shards: int = 4096, **columns: str) -> DataFrame:
