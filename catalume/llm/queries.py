@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from catalume.llm import bpe, decontaminate, divergence, kdtree, lm_scoring, quality, quotes, separators, simhash, surrogates
+from catalume.llm import bpe, decontaminate, divergence, hard_negatives, kdtree, lm_scoring, pivot_search, prefix_trie, quality, quotes, separators, simhash, surrogates
 from catalume.llm.common import table
 
 #: Where the public vocabulary files lie.
@@ -69,6 +69,19 @@ def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_scoring.score_documents(table(spark, sf_dir, "documents"), ranks(), pattern())
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.conversation_trie(table(spark, sf_dir, "conversations"))
+
+
+def op12_pivot_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pivot_search.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine_negatives(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, label=moved)
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     from catalume.llm.pipeline import run
 
@@ -77,6 +90,9 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_bpe, op2_divergence_rules, op3_separator_scan, op4_quality_classifier, op5_simhash, op6_kd_sharding, op7_surrogates, op8_quotation_linking, op9_decontamination, op10_lm_scoring, pipeline)
-}
-SQL: dict[str, str] = {"op2_divergence_rules": divergence.rules_sql()}
+    for f in (
+        op1_bpe, op2_divergence_rules, op3_separator_scan, op4_quality_classifier, op5_simhash, op6_kd_sharding, op7_surrogates, op8_quotation_linking, op9_decontamination, op10_lm_scoring,
+        op11_prefix_trie, op12_pivot_search, op13_hard_negatives, pipeline,
+    )
+}
+SQL: dict[str, str] = {"op2_divergence_rules": divergence.rules_sql(), "op11_prefix_trie": prefix_trie.SQL, "op12_pivot_search": pivot_search.SQL, "op13_hard_negatives": hard_negatives.SQL}
