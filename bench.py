@@ -11,7 +11,7 @@ from pyspark.sql import SparkSession
 
 from catalume.plans.queries import QUERIES
 
-HEADLINE = ["a1_recipe_abv", "h1_lineage", "h8_cost_guess", "j6_find_similar", "g3_union_graph", "p13_recipe_card", "g9_overlap_graph", "j8_similarity_edges"]
+HEADLINE = ["a1_recipe_abv", "h1_lineage", "h8_cost_guess", "j3_best_match", "j6_find_similar", "j8_strong_edges", "g3_union_graph", "p13_recipe_card", "g9_overlap_graph"]
 
 
 def main() -> None:

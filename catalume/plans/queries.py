@@ -13,6 +13,7 @@ from catalume.operators import hierarchy as h
 from catalume.operators import nodes as p
 from catalume.operators import similarity as j
 from catalume.operators import strength as a
+from catalume.operators import threshold as th
 from catalume.sources import catalog
 from catalume.sources.shared import new_folder
 
@@ -39,13 +40,13 @@ scorable AS (SELECT lines.* FROM lines JOIN nodes USING (node_id) WHERE kind NOT
 """
 
 
-def _scores(lines: str, where: str = "TRUE") -> str:
-    """Pair scores by definition: the best over the other's lines, then the mean."""
+def _scores(lines: str, pairs: str = "") -> str:
+    """Pair scores by definition: the best over the other's lines, then the mean. ``pairs``: a join with the pairs to score."""
     return f"""
 kept AS MATERIALIZED (SELECT DISTINCT recipe_id, node_id FROM {lines}),
 held AS MATERIALIZED (SELECT DISTINCT recipe_id AS r2, ancestor_id FROM kept JOIN closure USING (node_id)),
 best AS (SELECT r1, r2, node1, CASE WHEN k.node_id IS NOT NULL THEN 1.0 ELSE 1.0 - pow(0.5::DOUBLE, d - 1) END AS score FROM (
-  SELECT x.recipe_id AS r1, h.r2, x.node_id AS node1, max(c.depth) AS d FROM kept x JOIN closure c USING (node_id) JOIN held h USING (ancestor_id) WHERE {where} GROUP BY 1, 2, 3)
+  SELECT x.recipe_id AS r1, h.r2, x.node_id AS node1, max(c.depth) AS d FROM kept x JOIN closure c USING (node_id) {pairs} JOIN held h ON h.ancestor_id = c.ancestor_id{' AND h.r2 = cand.r2' if pairs else ''} GROUP BY 1, 2, 3)
   LEFT JOIN kept k ON k.recipe_id = r2 AND k.node_id = node1),
 sizes AS (SELECT recipe_id, count(*) AS n FROM {lines} GROUP BY 1),
 weights AS (SELECT recipe_id AS r1, node_id AS node1, count(*) AS n FROM {lines} GROUP BY 1, 2),
@@ -283,13 +284,17 @@ def j5_score_all(t: Tables) -> DataFrame:
     return j.score_all(t.supplier_lines, t.nodes, t.paths)
 
 
-@query(WITH + f""", {_OWN}, asked AS (SELECT o_orderkey AS o, CAST(o_orderkey AS STRING) AS r1 FROM orders WHERE o_orderkey % 100 = 0),
-met AS (SELECT x.recipe_id AS r1, y.recipe_id AS r2, sum(x.gain * x.n) AS w1, sum(y.gain * y.n) AS w2 FROM own x JOIN own y USING (key) WHERE x.recipe_id IN (SELECT r1 FROM asked) AND x.recipe_id <> y.recipe_id GROUP BY 1, 2),
-scored AS (SELECT r1, r2, round((w1 / x.size + w2 / y.size) / 2 - 1, 12) AS score FROM met JOIN sizes x ON x.recipe_id = r1 JOIN sizes y ON y.recipe_id = r2)
+@query(WITH + """, asked AS (SELECT CAST(o_orderkey AS STRING) AS q FROM orders WHERE o_orderkey % 100 = 0), sizes AS (SELECT recipe_id, count(*) AS size FROM scorable GROUP BY 1),
+weights AS MATERIALIZED (SELECT recipe_id, node_id, count(*) AS n FROM scorable GROUP BY 1, 2), held AS MATERIALIZED (SELECT DISTINCT recipe_id, ancestor_id FROM weights JOIN closure USING (node_id)),
+ahead AS (SELECT w.recipe_id AS r1, h.recipe_id AS r2, w.node_id, w.n, max(c.depth) AS d FROM weights w JOIN asked ON q = w.recipe_id JOIN closure c USING (node_id) JOIN held h USING (ancestor_id) GROUP BY 1, 2, 3, 4),
+back AS (SELECT h.recipe_id AS r1, w.recipe_id AS r2, w.node_id, w.n, max(c.depth) AS d FROM held h JOIN asked ON q = h.recipe_id JOIN closure c USING (ancestor_id) JOIN weights w ON w.node_id = c.node_id GROUP BY 1, 2, 3, 4),
+k12 AS (SELECT r1, r2, sum(a.n * CASE WHEN o.node_id IS NULL THEN 1 - pow(0.5::DOUBLE, d - 1) ELSE 1 END) / max(size) AS k FROM ahead a JOIN sizes s ON s.recipe_id = r1 LEFT JOIN weights o ON o.recipe_id = r2 AND o.node_id = a.node_id GROUP BY 1, 2),
+k21 AS (SELECT r1, r2, sum(b.n * CASE WHEN o.node_id IS NULL THEN 1 - pow(0.5::DOUBLE, d - 1) ELSE 1 END) / max(size) AS k FROM back b JOIN sizes s ON s.recipe_id = r2 LEFT JOIN weights o ON o.recipe_id = r1 AND o.node_id = b.node_id GROUP BY 1, 2),
+scored AS (SELECT r1, r2, round((x.k + y.k) / 2, 12) AS score FROM k12 x JOIN k21 y USING (r1, r2) WHERE r1 <> r2)
 SELECT r1, r2, score, CAST(rank AS INT) AS rank FROM (SELECT r1, r2, score, row_number() OVER (PARTITION BY r1 ORDER BY score DESC, CAST(r2 AS BIGINT)) AS rank FROM scored) WHERE rank <= 10""")
 def j6_find_similar(t: Tables) -> DataFrame:
-    """Every hundredth order's ten most similar among all orders."""
-    return j.find_similar(t.recipes.where("ord % 100 = 0"), t.recipes, t.lines, t.nodes, t.paths, k=10)
+    """Every hundredth order's ten most similar among all orders, each line scored by definition in the SQL."""
+    return th.nearest(t.recipes.where("ord % 100 = 0"), t.recipes, t.lines, t.nodes, t.paths, k=10)
 
 
 @query("SELECT 'S' || CAST(x.s_suppkey AS STRING) AS r1, 'S' || CAST(y.s_suppkey AS STRING) AS r2 FROM supplier x JOIN supplier y ON x.s_suppkey < y.s_suppkey")
@@ -309,6 +314,15 @@ def j8_similarity_edges(t: Tables) -> DataFrame:
     return j.similarity_edges(pairs, t.lines, t.nodes, t.paths).select("r1", "r2", F.round("score", 12).alias("score"), F.round("weight", 6).alias("weight"))
 
 
+@query(WITH + """, near AS (SELECT DISTINCT recipe_id, CASE WHEN len(path) < 3 THEN node_id ELSE path[3] END AS key FROM scorable JOIN paths USING (node_id)),
+cand AS MATERIALIZED (SELECT DISTINCT x.recipe_id AS r1, y.recipe_id AS r2 FROM near x JOIN near y USING (key) WHERE x.recipe_id <> y.recipe_id),""" + _scores("scorable", "JOIN cand ON cand.r1 = x.recipe_id") + """SELECT r1, r2, round(score, 12) AS score, round(weight, 6) AS weight FROM (SELECT r1, r2, score, 0.5 * e / (0.5 + 0.5 * e) AS weight FROM
+  (SELECT *, exp((score - 0.7) * (ln(2) / 0.03)) AS e FROM mutual WHERE r1 < r2)) WHERE weight >= 0.6""")
+def j8_strong_edges(t: Tables) -> DataFrame:
+    """All pairs of orders whose weight is at least 0.6. The SQL scores each line by definition, of the pairs that share a brand: a score over 0.5 takes a line that matches better than that."""
+    found = th.strong_edges(t.lines, t.nodes, t.paths, min_weight=0.6)
+    return found.select("r1", "r2", F.round("score", 12).alias("score"), F.round("weight", 6).alias("weight"))
+
+
 @query("SELECT o AS recipe_id, coalesce(n, 0) AS matched FROM (SELECT CAST(o_orderkey AS STRING) AS o FROM orders) LEFT JOIN (SELECT recipe_id, count(DISTINCT ancestor_id) AS n FROM lines JOIN closure USING (node_id) WHERE ancestor_id LIKE 'T:%' AND ancestor_id LIKE '%STEEL' GROUP BY 1) ON o = recipe_id WHERE coalesce(n, 0) <= 1")
 def j9_ingredients_match(t: Tables) -> DataFrame:
     picked = t.nodes.where("node_id LIKE 'T:%' AND node_id LIKE '%STEEL'")
@@ -346,7 +360,7 @@ def g5_degrees(t: Tables) -> DataFrame:
     return g.neighbors(edges, "pair_id").join(g.out_degree(edges, "pair_id"), ["pair_id", "node"]).select("pair_id", "node", "out_degree", "n_neighbors")
 
 
-@query("SELECT recipe_id, ancestor_id AS start, r.node AS node FROM (SELECT DISTINCT recipe_id, src AS start FROM edges2 WHERE src LIKE 'T:%') s JOIN LATERAL (SELECT s.start AS ancestor_id) ON TRUE JOIN (SELECT DISTINCT recipe_id, ancestor_id AS top, node FROM (SELECT l.recipe_id, c.ancestor_id, e.ancestor_id AS node FROM lines l JOIN nodes n USING (node_id) JOIN closure c USING (node_id) JOIN closure e USING (node_id) WHERE n.kind <> 'Garnish' AND e.depth >= c.depth AND c.depth = 2 UNION ALL SELECT l.recipe_id, c.ancestor_id, 'R:' || l.recipe_id FROM lines l JOIN nodes n USING (node_id) JOIN closure c USING (node_id) WHERE n.kind <> 'Garnish' AND c.depth = 2)) r USING (recipe_id) WHERE r.top = ancestor_id")
+@query(WITH + ", walk AS (SELECT DISTINCT recipe_id, src AS start, src AS node FROM edges2 WHERE src LIKE 'T:%' UNION SELECT w.recipe_id, w.start, e.dst FROM walk w JOIN edges2 e ON e.recipe_id = w.recipe_id AND e.src = w.node) SELECT recipe_id, start, node FROM walk")
 def g6_reachable(t: Tables) -> DataFrame:
     """What each recipe's top categories reach."""
     edges = g.recipe_graph(t.lines, t.nodes, t.paths)
@@ -354,7 +368,8 @@ def g6_reachable(t: Tables) -> DataFrame:
     return g.reachable(edges, starts, "recipe_id").select("recipe_id", "start", "node")
 
 
-@query("SELECT recipe_id, s.node AS start, e.node AS node FROM (SELECT recipe_id, min(src) AS node FROM edges2 WHERE src LIKE 'T:%' GROUP BY 1) s JOIN (SELECT DISTINCT recipe_id, node FROM (SELECT recipe_id, src AS node FROM edges2 UNION ALL SELECT recipe_id, dst FROM edges2)) e USING (recipe_id)")
+@query(WITH + """, ways AS (SELECT recipe_id, src AS a, dst AS b FROM edges2 UNION SELECT recipe_id, dst, src FROM edges2),
+walk AS (SELECT recipe_id, min(src) AS start, min(src) AS node FROM edges2 WHERE src LIKE 'T:%' GROUP BY 1 UNION SELECT w.recipe_id, w.start, e.b FROM walk w JOIN ways e ON e.recipe_id = w.recipe_id AND e.a = w.node) SELECT recipe_id, start, node FROM walk""")
 def g6_reachable_either_way(t: Tables) -> DataFrame:
     """What each recipe's first top category reaches in either direction: all of its graph, as every line leads to the recipe."""
     edges = g.recipe_graph(t.lines, t.nodes, t.paths)
@@ -366,7 +381,7 @@ def _overlaps(t: Tables, **options) -> DataFrame:
     return g.overlap_graph(t.pairs, g.packed_graphs(t.lines, t.nodes, t.paths), p.recipe_ingredients(t.lines, t.nodes), **options)
 
 
-#: Passes that the SQL of the prunings unrolls; the last ones must change nothing.
+#: Passes that the SQL of the prunings unrolls. One more must change nothing, or the SQL gives no rows.
 ISOLATED, TAILS = 4, 14
 _ENDS = "named AS MATERIALIZED (SELECT r1 || '+' || r2 AS pair_id, r1, r2, 'R:' || r1 AS one, 'R:' || r2 AS two FROM pairs), e0 AS MATERIALIZED (SELECT * FROM edges3)"
 
@@ -392,25 +407,29 @@ def _tails(old: str, new: str) -> str:
 gone_{new} AS MATERIALIZED (SELECT pair_id, x AS node FROM both_{new} JOIN named USING (pair_id) GROUP BY 1, 2 HAVING count(*) = 1 AND NOT bool_or(y = one OR y = two)), {_without_gone(old, new, f'gone_{new}')}"""
 
 
+def _settled(n: int) -> str:
+    return f"(SELECT count(*) FROM e{n}) = (SELECT count(*) FROM e{n + 1})"
+
+
 def _passes(isolated: int, tails: int) -> str:
     names = [f"e{i}" for i in range(isolated + tails + 1)]
     return WITH + ", " + ", ".join([_ENDS, *[(_isolated if i < isolated else _tails)(names[i], names[i + 1]) for i in range(isolated + tails)]])
 
 
-@query(_passes(ISOLATED, 0) + f"SELECT pair_id, src, dst FROM e{ISOLATED}")
+@query(_passes(ISOLATED + 1, 0) + f"SELECT pair_id, src, dst FROM e{ISOLATED} WHERE {_settled(ISOLATED)}")
 def g7_remove_isolated(t: Tables) -> DataFrame:
     return _overlaps(t, tails=False).select("pair_id", "src", "dst")
 
 
-@query(_passes(0, TAILS) + f"SELECT pair_id, src, dst FROM e{TAILS}")
+@query(_passes(0, TAILS + 1) + f"SELECT pair_id, src, dst FROM e{TAILS} WHERE {_settled(TAILS)}")
 def g8_remove_tails(t: Tables) -> DataFrame:
     return _overlaps(t, isolated=False).select("pair_id", "src", "dst")
 
 
-_LAST = f"e{ISOLATED + TAILS}"
+_LAST = f"e{ISOLATED + TAILS + 1}"
 
 
-@query(_passes(ISOLATED, TAILS) + f""", back1 AS (SELECT pair_id, one AS node FROM named UNION SELECT e.pair_id, e.src FROM back1 t JOIN {_LAST} e ON e.pair_id = t.pair_id AND e.dst = t.node),
+@query(_passes(ISOLATED + 1, TAILS) + f""", back1 AS (SELECT pair_id, one AS node FROM named UNION SELECT e.pair_id, e.src FROM back1 t JOIN {_LAST} e ON e.pair_id = t.pair_id AND e.dst = t.node),
 back2 AS (SELECT pair_id, two AS node FROM named UNION SELECT e.pair_id, e.src FROM back2 t JOIN {_LAST} e ON e.pair_id = t.pair_id AND e.dst = t.node),
 outs AS (SELECT pair_id, src AS node, count(*) AS o FROM {_LAST} GROUP BY 1, 2), lists AS (SELECT recipe_id, string_agg(node_id, '|' ORDER BY pos) AS l FROM lines GROUP BY 1), used AS (SELECT DISTINCT recipe_id, node_id AS node FROM lines),
 ends AS (SELECT DISTINCT pair_id, node FROM (SELECT pair_id, src AS node FROM {_LAST} UNION ALL SELECT pair_id, dst FROM {_LAST})),
