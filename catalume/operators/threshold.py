@@ -219,7 +219,10 @@ def nearest(queries: DataFrame, recipes: DataFrame, lines: DataFrame, nodes: Dat
 
     for turn in range(len(falling)):
         depth = (F.ceil(-F.log2(F.greatest(F.lit(1 + EPS) - F.col("need") / 2, F.lit(1e-12)))) + 1).cast("int")  # as required_depth
-        for r in open_.groupBy(depth.alias("depth")).agg(F.min("need").alias("least")).collect():
+        wanted = open_.groupBy(depth.alias("depth")).agg(F.min("need").alias("least")).collect()
+        if not wanted:
+            break
+        for r in wanted:
             sets, mine = own.key_sets(r.depth), open_.where(depth == r.depth)
             left = own.postings(sets.join(mine.select("shape"), "shape", "left_semi"), r.depth, r.least)
             left = stage(left.join(mine, "shape").where(F.col("bound") >= F.col("need") - 1 - EPS), "wanted")

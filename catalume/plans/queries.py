@@ -271,7 +271,7 @@ def j3_best_match(t: Tables) -> DataFrame:
 
 @query(WITH + "," + _SUPPLIER + _scores("supplied") + "SELECT r1, r2, round(k12, 12) AS k12, round(k21, 12) AS k21, round(score, 12) AS score FROM mutual")
 def j4_similarity(t: Tables) -> DataFrame:
-    found = j.similarity(j.directed_similarity(t.supplier_lines, t.nodes, t.paths))
+    found = j.similarity_of_all(t.supplier_lines, t.nodes, t.paths)
     return found.select("r1", "r2", *[F.round(c, 12).alias(c) for c in ("k12", "k21", "score")])
 
 

@@ -5,24 +5,40 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from catalume.sources.shared import publish
+
 VOLUME = "struct<amount:double,unit:string>"
 NODES = f"node_id string, parent_id string, name string, kind string, ord long, abv_stated double, unit_cost double, unit_volume {VOLUME}, unit_count long, volume_per_count {VOLUME}, brand string"
 RECIPES = f"recipe_id string, ord long, name string, color string, source string, ingredients array<struct<node:string,amount_unit:{VOLUME}>>"
 
 
-def _load(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    reader = spark.read.schema(schema)
-    return reader.json(path) if path.rstrip("/").endswith(("json", "jsonl")) else reader.parquet(path)
+BAD = "_bad"
+
+
+def _load(spark: SparkSession, path: str, schema: str, key: str, bad_to: str | None) -> DataFrame:
+    json = path.rstrip("/").endswith(("json", "jsonl"))
+    if bad_to is None:
+        return spark.read.schema(schema).json(path, mode="FAILFAST") if json else spark.read.schema(schema).parquet(path)
+    rows = spark.read.schema(f"{schema}, {BAD} string").json(path, mode="PERMISSIVE", columnNameOfCorruptRecord=BAD) if json else spark.read.schema(schema).parquet(path).withColumn(BAD, F.lit(None).cast("string"))
+    reason = F.when(F.col(BAD).isNotNull(), "malformed").when(F.col(key).isNull(), f"no {key}")
+    told = rows.select(F.input_file_name().alias("file"), reason.alias("reason"), F.coalesce(BAD, F.to_json(F.struct(*[c for c in rows.columns if c != BAD]))).alias("record"))
+    publish(told.where("reason IS NOT NULL"), bad_to, [])
+    return rows.where(reason.isNull()).drop(BAD)
 
 
-def load_nodes(spark: SparkSession, path: str) -> DataFrame:
-    """Taxonomy nodes, from JSON lines or Parquet."""
-    return _load(spark, path, NODES)
+def load_nodes(spark: SparkSession, path: str, *, bad_to: str | None = None) -> DataFrame:
+    """Taxonomy nodes, from JSON lines or Parquet.
 
+    A record that can't be read as a node makes the job fail. With ``bad_to`` such
+    records, and those without node_id, go to a table there (file, reason, record), and
+    the others are loaded.
+    """
+    return _load(spark, path, NODES, "node_id", bad_to)
 
-def load_recipes(spark: SparkSession, path: str) -> DataFrame:
-    """Nested recipe documents, from JSON lines or Parquet."""
-    return _load(spark, path, RECIPES)
+
+def load_recipes(spark: SparkSession, path: str, *, bad_to: str | None = None) -> DataFrame:
+    """Nested recipe documents, from JSON lines or Parquet; bad records as with ``load_nodes``."""
+    return _load(spark, path, RECIPES, "recipe_id", bad_to)
 
 
 def explode_lines(recipes: DataFrame) -> DataFrame:
@@ -31,10 +47,14 @@ def explode_lines(recipes: DataFrame) -> DataFrame:
     return rows.select("recipe_id", (F.col("pos") + 1).alias("pos"), F.col("x.node").alias("node_id"), F.col("x.amount_unit.amount").alias("amount"), F.col("x.amount_unit.unit").alias("unit"))
 
 
-def write_result(df: DataFrame, path: str, partition_cols: list[str] | None = None) -> None:
-    """Write a result table, overwriting what is there."""
-    writer = df.write.mode("overwrite")
-    (writer.partitionBy(*partition_cols) if partition_cols else writer).parquet(path)
+def write_result(df: DataFrame, path: str, partition_cols: list[str] | None = None, *, partitions_only: bool = False) -> None:
+    """Write a result table in the place of what is there, or of the partitions that ``df`` has.
+
+    The table appears whole: a write that fails leaves the old one (``shared.publish``).
+    """
+    if partitions_only and not partition_cols:
+        raise ValueError("name the partition columns")
+    publish(df, path, partition_cols or [], partitions_only=partitions_only)
 
 
 #: Parts as a five-level taxonomy and line items as recipe lines. The same text runs on Spark and on other SQL engines.

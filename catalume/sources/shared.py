@@ -29,9 +29,56 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def _path(spark: SparkSession, name: str):
+    """A Hadoop path and its file system."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(name)
+    return path, path.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
 def discard(*staged: DataFrame) -> None:
     """Delete tables that ``stage`` wrote, once nothing reads them any more."""
     for df in staged:
-        spark = df.sparkSession
-        path = spark._jvm.org.apache.hadoop.fs.Path(df.staged_path)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        path, files = _path(df.sparkSession, df.staged_path)
+        files.delete(path, True)
+
+
+def _leaves(files, path, depth: int, below: str = "") -> list[str]:
+    """Names of the partition folders ``depth`` levels down."""
+    if not depth:
+        return [below]
+    inside = [x.getPath() for x in files.listStatus(path) if x.isDirectory() and "=" in x.getPath().getName()]
+    return [y for x in inside for y in _leaves(files, x, depth - 1, f"{below}/{x.getName()}")]
+
+
+def publish(df: DataFrame, path: str, partition_cols: list[str], *, partitions_only: bool = False) -> None:
+    """Write ``df`` beside ``path`` and put it in its place by renaming, when it is whole.
+
+    If the write fails, what was there stays as it was. With ``partitions_only`` just the
+    partitions that ``df`` has rows for are put in place; the others stay.
+    """
+    spark, path = df.sparkSession, path.rstrip("/")
+    new, old = f"{path}.new-{uuid.uuid4().hex}", f"{path}.old-{uuid.uuid4().hex}"
+    (here, files), (fresh, _), (former, _) = _path(spark, path), _path(spark, new), _path(spark, old)
+    try:
+        (df.write.partitionBy(*partition_cols) if partition_cols else df.write).parquet(new)
+        if partitions_only and files.exists(here):
+            for leaf in _leaves(files, fresh, len(partition_cols)):
+                (target, _), (source, _), (before, _) = _path(spark, path + leaf), _path(spark, new + leaf), _path(spark, old + leaf)
+                for parent in (target.getParent(), before.getParent()):
+                    files.mkdirs(parent)
+                _swap(files, source, target, before)
+        else:
+            _swap(files, fresh, here, former)
+    finally:
+        files.delete(fresh, True)
+        files.delete(former, True)
+
+
+def _swap(files, new, path, old) -> None:
+    there = files.exists(path)
+    if there and not files.rename(path, old):
+        raise OSError(f"{path} could not be moved away")
+    if not files.rename(new, path):
+        if there:
+            files.rename(old, path)
+        raise OSError(f"{path} could not be put in place")

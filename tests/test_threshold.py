@@ -126,3 +126,15 @@ def test_best_match_equals_all_lines(spark):
                 want.add((a, b, i + 1, x, k + 1, own[b][k], shared[k], score[k]))
         got = j.best_match(spark.createDataFrame(pairs, "r1 string, r2 string"), table, nodes, h.lineage_paths(nodes)).select("r1", "r2", "pos1", "node1", "pos2", "node2", "shared", "score")
         assert {(*r[:6], tuple(r.shared), r.score) for r in got.collect()} == want
+
+
+@pytest.mark.parametrize("roots", [1, 2])
+def test_tiles_score_every_ordered_pair_once(spark, roots):
+    up, lines, nodes, table = catalog(spark, 9, roots=roots, recipes=30)
+    want = scores(up, lines)
+    rows = j.score_tiles(j.packed(table, nodes, h.lineage_paths(nodes)), tile=7).collect()
+    assert len(rows) == len(want)
+    assert all(abs((r.k12 + r.k21) / 2 - want[r.r1, r.r2]) < 1e-12 for r in rows)
+    directed = {(r.r1, r.r2): r.k12 for r in rows}
+    assert all(abs(r.k21 - directed[r.r2, r.r1]) < 1e-12 for r in rows)
+    assert j.score_tiles(j.packed(table.limit(0), nodes, h.lineage_paths(nodes))).count() == 0
