@@ -65,15 +65,27 @@ def child_edges(nodes: DataFrame, node: str) -> DataFrame:
 
 
 def descendants(paths: DataFrame, node: str | None = None) -> DataFrame:
-    """H4: (ancestor_id, node_id) strictly below ``node``, or below every node."""
-    below = closure(paths).where("node_id <> ancestor_id").select("ancestor_id", "node_id")
-    return below if node is None else below.where(F.col("ancestor_id") == node)
+    """H4: (ancestor_id, node_id) strictly below ``node``, or below every node.
+
+    A path tells what a node is below of, so the nodes below one are a filter; only
+    "below every node" lists all ancestors, as its result does.
+    """
+    if node is not None:
+        return _below(paths, node).select(F.lit(node).alias("ancestor_id"), "node_id")
+    return closure(paths).where("node_id <> ancestor_id").select("ancestor_id", "node_id")
+
+
+def _below(paths: DataFrame, node: str) -> DataFrame:
+    return paths.where(F.array_contains("path", node) & (F.col("node_id") != node))
 
 
 def subtree_edges(paths: DataFrame, node: str | None = None) -> DataFrame:
     """H3: (ancestor_id, src, dst): all edges below ``node``, or below every node."""
-    parent = paths.where(F.size("path") > 1).select("node_id", F.element_at("path", -2).alias("src"))
-    return descendants(paths, node).join(parent, "node_id").select("ancestor_id", "src", F.col("node_id").alias("dst"))
+    src = F.element_at("path", -2).alias("src")
+    if node is not None:
+        return _below(paths, node).select(F.lit(node).alias("ancestor_id"), src, F.col("node_id").alias("dst"))
+    above = F.explode(F.slice("path", 1, F.size("path") - 1)).alias("ancestor_id")
+    return paths.where(F.size("path") > 1).select(above, src, F.col("node_id").alias("dst"))
 
 
 def layered_edges(paths: DataFrame, node: str) -> DataFrame:

@@ -128,11 +128,11 @@ def test_best_match_equals_all_lines(spark):
         assert {(*r[:6], tuple(r.shared), r.score) for r in got.collect()} == want
 
 
-@pytest.mark.parametrize("roots", [1, 2])
-def test_tiles_score_every_ordered_pair_once(spark, roots):
+@pytest.mark.parametrize(("roots", "tile"), [(1, 7), (2, 7), (1, 1000)])
+def test_tiles_score_every_ordered_pair_once(spark, roots, tile):
     up, lines, nodes, table = catalog(spark, 9, roots=roots, recipes=30)
     want = scores(up, lines)
-    rows = j.score_tiles(j.packed(table, nodes, h.lineage_paths(nodes)), tile=7).collect()
+    rows = j.score_tiles(j.packed(table, nodes, h.lineage_paths(nodes)), tile=tile).collect()
     assert len(rows) == len(want)
     assert all(abs((r.k12 + r.k21) / 2 - want[r.r1, r.r2]) < 1e-12 for r in rows)
     directed = {(r.r1, r.r2): r.k12 for r in rows}
