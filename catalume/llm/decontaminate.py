@@ -19,6 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from catalume.llm.common import free_name, release, stage
 
@@ -208,6 +209,7 @@ def contaminated(
     sc = docs.sparkSession.sparkContext
     src = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     fields = T.StructType([T.StructField("doc_id", src.schema["doc_id"].dataType), T.StructField("item_id", benchmark.schema[item_id].dataType), *[T.StructField(c, t) for c, t in (("score", T.DoubleType()), ("n_seeds", T.LongType()), ("first_word", T.LongType()), ("last_word", T.LongType()))]])
+    named = to_arrow_type(fields["item_id"].dataType)  # ids keep their type, in batches without a find, too
     out = docs.sparkSession.createDataFrame([], fields)
     for part in _chunks(benchmark, item_id, item_text, chunk_bytes):
         if not part.names:
@@ -225,7 +227,7 @@ def contaminated(
                     for row in aligned(own, own.read(value.as_py(), cache), seeds, threshold):
                         which.append(k)
                         found.append(row)
-                names = pa.array([own.names[r[0]] for r in found]) if found else pa.array([], pa.int64())
+                names = pa.array([own.names[r[0]] for r in found], named)
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(which, pa.int64())), names, *[pa.array([r[c] for r in found], t) for c, t in ((1, pa.float64()), (2, pa.int64()), (3, pa.int64()), (4, pa.int64()))]], fields.names)
 
         out = out.unionByName(src.mapInArrow(align, fields))

@@ -282,3 +282,18 @@ def test_base_scores_equal_brute_force(docs, monkeypatch):
         t = text[r.doc_id]
         assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (zlib.crc32(str(r.doc_id).encode()) % 5 == 1, len(t), sum(counts[w] > 0 for w in t), n)
         assert r.base_score == pytest.approx(sum(math.log10((counts[w] + 0.5) / (n + 0.5 * (v + 1))) for w in t), abs=1e-6) and r.score < 0
+
+
+@pytest.mark.parametrize("kind", ["string", "int", "long", "short"])
+def test_item_ids_of_any_type_in_batches_with_and_without_finds(spark, kind):
+    item = "the quick brown fox jumps over the lazy dog near a river bank"
+    docs = spark.createDataFrame([(k, f"before {item} after" if k in (3, 17) else None if k == 5 else "nothing of the kind in here") for k in range(20)], "doc_id long, text string").repartition(2, "doc_id")
+    items = spark.createDataFrame([(7, item), (8, None)], "item_id int, text string").withColumn("item_id", F.col("item_id").cast(kind))
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2")
+    try:
+        found = decontaminate.contaminated(docs, items)
+        assert {(r.doc_id, str(r.item_id)) for r in found.collect()} == {(3, "7"), (17, "7")}
+        assert dict(found.dtypes)["item_id"] == dict(items.dtypes)["item_id"]
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
