@@ -59,7 +59,7 @@ class Shapes:
         rows = stage(rows.withColumn("shape", F.unhex(F.substring(F.sha2(sign.cast("binary"), 256), 1, 32))), "recipes")
         self.members = rows.select("shape", "recipe_id")
         self.items = stage(rows.drop("recipe_id").dropDuplicates(["shape"]), "shapes")
-        one = self.items.select("shape", "lines", F.inline("items"))
+        one = self.items.repartition("shape").select("shape", "lines", F.inline("items"))  # dealt once, before there are many rows
         gains = one.select("shape", (F.col("n") / F.col("lines")).alias("share"), F.posexplode(F.concat("up", F.array("no"))).alias("depth", "at"), F.size("up").alias("own"))
         itself = F.col("depth") == F.col("own")
         keys = gains.select("shape", (F.col("at") * 2 + itself.cast("int")).alias("key"), (F.col("share") * F.pow(F.lit(0.5), F.when(itself, F.col("own") - 1).otherwise(F.col("depth")))).alias("worth"))
@@ -79,7 +79,7 @@ class Shapes:
         each = F.transform(F.sequence(F.lit(2), F.lit(whole)), lambda d: F.when(size >= d, F.struct(F.get("up", d - 1).alias("key"), d.alias("level"), F.pow(F.lit(0.5), F.when(d == whole, d - 2).otherwise(d - 1)).alias("worth"))))
         itself = F.when(size < whole, F.struct((-1 - F.col("no")).alias("key"), F.lit(1 << 20).alias("level"), F.pow(F.lit(0.5), size - 1).alias("worth")))
         chain = F.filter(F.concat(each, F.array(itself)), lambda x: x.isNotNull())
-        lines = self.items.select("shape", "lines", F.inline("items")).select("shape", (F.col("n") / F.col("lines")).alias("share"), chain.alias("chain"))
+        lines = self.items.repartition("shape").select("shape", "lines", F.inline("items")).select("shape", (F.col("n") / F.col("lines")).alias("share"), chain.alias("chain"))
         at = lines.select("shape", "share", F.posexplode("chain").alias("place", "x"), "chain")
         above = F.transform(F.slice("chain", 1, F.col("place")), lambda x: x["key"])
         keys = at.select("shape", F.col("x.key").alias("key"), F.col("x.level").alias("level"), (F.col("x.worth") * F.col("share")).alias("worth"), above.alias("above"))
@@ -201,7 +201,8 @@ def nearest(queries: DataFrame, recipes: DataFrame, lines: DataFrame, nodes: Dat
     which is the next threshold, if the round's is not higher. Queries that are still
     open after the last round (fewer than k recipes are at all alike) are scored against
     all recipes, in blocks. Whatever their root, all recipes can be listed: what shares
-    none scores -1. ``counts``, if given, gets the number of pairs that were scored.
+    none scores -1. Recipes without scorable lines neither ask nor are listed.
+    ``counts``, if given, gets the numbers of pairs scored and of queries left to blocks.
     """
     own = Shapes(lines, nodes, paths)
     counts = {} if counts is None else counts

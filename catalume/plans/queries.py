@@ -92,12 +92,25 @@ def query(sql: str | None = None):
     return register
 
 
-@query("SELECT node_id, parent_id, name, kind, ord, abv_stated, unit_cost, volume_ml, unit_count FROM nodes")
+#: What the order tables mean as a catalog, written apart from the text that both sides of the other queries share.
+_STATED_NODES = """WITH named AS (SELECT *, format('{}/{}', p_type, p_brand) AS brand_path, format('{}/{}/{}', p_type, p_brand, p_name) AS name_path FROM part),
+above AS (SELECT DISTINCT unnest([{'id': 'N:' || name_path, 'up': 'B:' || brand_path}, {'id': 'B:' || brand_path, 'up': 'T:' || p_type}, {'id': 'T:' || p_type, 'up': 'root'}, {'id': 'root', 'up': NULL}]) AS x FROM named)
+SELECT format('P:{}', p_partkey) AS node_id, 'N:' || name_path AS parent_id, p_name AS name, list_extract(['Garnish', 'Bitters', 'Fruit', 'Juice', 'Liquor', 'Liquor', 'Liqueur', 'Liqueur', 'Syrup', 'AperitifDigestif'], CAST(p_partkey % 10 + 1 AS INT)) AS kind,
+  p_partkey AS ord, CASE p_size % 3 WHEN 0 THEN p_size / 100 END AS abv_stated, p_retailprice AS unit_cost, p_size * 10::DOUBLE AS volume_ml, p_size::BIGINT AS unit_count FROM named
+UNION ALL SELECT x.id, x.up, x.id, 'Ingredient', 0, NULL, NULL, NULL, NULL FROM above"""
+_STATED_LINES = """WITH packed AS (SELECT l_orderkey, list({'key': l_partkey, 'path': format('{}/{}/{}', p_type, p_brand, p_name), 'supplier': l_suppkey, 'number': l_linenumber, 'quantity': l_quantity}
+    ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_discount, l_tax, l_shipdate, l_returnflag, l_linestatus) AS ls FROM part JOIN lineitem ON p_partkey = l_partkey GROUP BY l_orderkey),
+each AS (SELECT l_orderkey, unnest(ls) AS l, generate_subscripts(ls, 1) AS i FROM packed)
+SELECT l_orderkey::VARCHAR AS recipe_id, i::INT AS pos, CASE l.supplier % 5 WHEN 0 THEN 'N:' || l.path ELSE format('P:{}', l.key) END AS node_id, l.quantity::DOUBLE AS amount,
+  CASE WHEN l.supplier % 5 > 0 AND (l.key % 10 = 0 OR l.key % 10 = 2) THEN 'count' ELSE coalesce(list_extract(['oz', 'oz', 'dash', 'drop', 'splash', 'mL'], l.number), 'barspoon') END AS unit FROM each"""
+
+
+@query(_STATED_NODES)
 def s1_nodes(t: Tables) -> DataFrame:
     return t.nodes.select("node_id", "parent_id", "name", "kind", "ord", "abv_stated", "unit_cost", F.col("unit_volume.amount").alias("volume_ml"), "unit_count")
 
 
-@query("SELECT recipe_id, pos, node_id, amount, unit FROM lines")
+@query(_STATED_LINES)
 def s2_s3_lines(t: Tables) -> DataFrame:
     """Lines packed into nested recipe documents and exploded again."""
     item = F.struct("pos", F.col("node_id").alias("node"), F.struct("amount", "unit").alias("amount_unit"))
