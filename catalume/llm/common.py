@@ -71,6 +71,19 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def shelve(df: DataFrame, key: str, name: str) -> DataFrame:
+    """``stage`` as a table bucketed by ``key``: joins on it move the other side only, as often as it is read.
+
+    It has as many buckets as ``spark.sql.shuffle.partitions``. The session's catalog
+    names it; its files are in the shared folder.
+    """
+    spark = df.sparkSession
+    path, buckets = new_path(spark, name), int(spark.conf.get("spark.sql.shuffle.partitions"))
+    title = path.rpartition("/")[2].replace("-", "_")
+    df.repartition(buckets, key).write.bucketBy(buckets, key).option("path", path).saveAsTable(title)
+    return spark.table(title)
+
+
 def discard(*staged: DataFrame) -> None:
     """Delete tables that ``stage`` wrote, once nothing reads them any more."""
     for df in staged:

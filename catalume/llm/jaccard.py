@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from catalume.llm import simhash
-from catalume.llm.common import discard, free_name, release, stage
+from catalume.llm.common import discard, free_name, release, shelve, stage
 from catalume.llm.simhash import SEED, components
 
 WIDTH, LEAST = 5, 0.8
@@ -31,8 +31,6 @@ WIDTH, LEAST = 5, 0.8
 BUCKETS = 1 << 16
 #: Words that a task remembers.
 CACHE = 200_000
-#: Row numbers that are broadcast at most; more are joined by shuffling the texts.
-FEW = 3_000_000
 #: Bits of the sieve that tells most shingles of one text from those of several; its size doesn't grow with the data.
 BITS = 1 << 25
 MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -119,7 +117,11 @@ def _described(rows: DataFrame, width: int, least: float) -> DataFrame:
 
 
 def _verified(pairs: DataFrame, rows: DataFrame, width: int, least: float) -> DataFrame:
-    """Those of ``pairs`` (a, b) that are alike by their shingles."""
+    """Those of ``pairs`` (a, b) that are alike by their shingles.
+
+    The same plan at every size: where ``rows`` lie in buckets of ``row``, they aren't
+    shuffled to be looked up, and only texts of pairs travel.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         release()
@@ -134,13 +136,13 @@ def _verified(pairs: DataFrame, rows: DataFrame, width: int, least: float) -> Da
                     keep.append(k)
             yield pa.RecordBatch.from_arrays([pa.array([a[k] for k in keep], pa.int64()), pa.array([b[k] for k in keep], pa.int64())], ["a", "b"])
 
-    asked = stage(pairs.select(F.explode(F.array("a", "b")).alias("row")).distinct(), "asked")
-    needed = rows.select("row", "text").join(F.broadcast(asked) if asked.count() <= FEW else asked, "row", "left_semi")
-    needed = stage(needed, "compared")
-    text = lambda c: needed.select(F.col("row").alias(c), F.col("text").alias(f"text_{c}"))
-    both = pairs.join(text("a"), "a").join(text("b"), "b").select("a", "b", "text_a", "text_b")
+    # the pairs go to the texts: first to b's, with which they travel on to a's
+    needed = pairs.select(F.col("a").alias("row")).distinct().hint("shuffle_hash")
+    firsts = stage(rows.join(needed, "row", "left_semi").select(F.col("row").alias("a"), F.col("text").alias("text_a")), "compared")
+    seconds = rows.join(pairs.hint("shuffle_hash"), F.col("row") == F.col("b")).select("a", "b", F.col("text").alias("text_b"))
+    both = seconds.join(firsts.hint("merge"), "a").select("a", "b", "text_a", "text_b")
     alike_pairs = stage(both.mapInArrow(run, "a long, b long"), "alike")
-    discard(asked, needed)
+    discard(firsts)
     return alike_pairs
 
 
@@ -175,7 +177,8 @@ def _grouped(rows: DataFrame, links: DataFrame) -> DataFrame:
 def near_copies(rows: DataFrame, *, width: int = WIDTH, least: float = LEAST) -> DataFrame:
     """(row, first) for each of ``rows`` (row, name, text): the row of its group of linked texts that has the least name, then the least row.
 
-    Null names come last. Texts without words are equal.
+    Null names come last. Texts without words are equal. ``rows`` are read several
+    times and joined by ``row``; best they lie in buckets of it (``shelve``).
     """
     found = _described(rows, width, least)
     order = F.struct(F.col("name").isNull().alias("unnamed"), "name", "row")
@@ -231,7 +234,7 @@ def keep_one(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", wid
     names; an empty table gives an empty result.
     """
     key = free_name(docs, "_row")
-    numbered = stage(docs.withColumn(key, F.monotonically_increasing_id()), "rows")
+    numbered = shelve(docs.withColumn(key, F.monotonically_increasing_id()), key, "rows")
     rows = numbered.select(F.col(doc_id).alias("name"), F.col(text).alias("text"), F.col(key).alias("row"))
     first = near_copies(rows, width=width, least=least).where("row = first").select(F.col("row").alias(key))
-    return numbered.join(first, key, "left_semi").drop(key).select(*docs.columns)
+    return numbered.join(first.hint("shuffle_hash"), key, "left_semi").drop(key).select(*docs.columns)
