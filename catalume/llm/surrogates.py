@@ -6,7 +6,9 @@ for letters of the same script and case, names for names of the same gender and
 script. A name is one person's wherever it stands: with any title, and without one
 later in a text. Draws that meet another entity's surrogate or an entity that occurs
 in the corpus are drawn again, so different entities stay different; the same entity
-gets the same surrogate everywhere.
+gets the same surrogate everywhere. First draws depend on the key and the entity
+alone, so other texts change a surrogate only where they bring such a collision: one
+latin name in two hundred where there are a million of them.
 """
 
 from __future__ import annotations
@@ -33,11 +35,13 @@ NAME_PARTS = {
     ("cyrillic", "f"): (["Вла", "Ра", "Ста", "Миро", "Яро", "Люд", "Свет", "Зла"], ["слава", "мира", "дана", "мила", "лина"]),
     ("cyrillic", "n"): (["Бел", "Вер", "Гор", "Дуб", "Зар", "Кор", "Лес", "Мор", "Пол", "Сев"], ["енко", "ский", "овский", "инец", "ович", "ченко"]),
 }
-# Syllables that stand between the parts of a surrogate name.
+#: Syllables that stand between the parts of a surrogate name: a consonant and a vowel each.
 MIDDLES = {
-    "latin": ["a", "al", "an", "ar", "as", "bel", "da", "del", "do", "e", "el", "en", "er", "fa", "i", "il", "in", "is", "la", "lo", "ma", "mi", "na", "ni", "o", "or", "ra", "ri", "sa", "va"],
-    "cyrillic": ["а", "ал", "ан", "ар", "бо", "ва", "ве", "га", "да", "ди", "е", "за", "и", "ка", "ла", "ли", "ма", "ми", "на", "ни", "о", "па", "ра", "ри", "са", "се", "та", "ти", "у", "фе"],
+    "latin": [c + v for c in "bdfghklmnprstvwz" for v in "aeiou"],
+    "cyrillic": [c + v for c in "бвгдзклмнпрстфхш" for v in "аеиоуя"],
 }
+#: Syllables in every name's first draw, whatever else is in the corpus: over thirty million names for each script and gender.
+SYLLABLES = 3
 #: Draws of one format before surrogates grow longer.
 DRAWS = 12
 #: Letters to draw from, by script: first and last, lower-case where there is case.
@@ -156,12 +160,7 @@ def _private(ip: str) -> int:
     return 1 if a in (10, 127) else 2 if (a, b) in ((192, 168), (169, 254)) or (a == 172 and 16 <= b < 32) else 0
 
 
-def middles(names: int) -> int:
-    """How many middle syllables make room for so many names."""
-    return next(k for k in range(1, 20) if 40 * 30**k >= 20 * names)
-
-
-def surrogate(kind: str, form: str, gender: str, attempt: int, secret: bytes, syllables: int = 1) -> str:
+def surrogate(kind: str, form: str, gender: str, attempt: int, secret: bytes) -> str:
     """The ``attempt``-th draw for an entity, in canonical form."""
     draw = _stream(secret, kind, form, attempt)
     longer = max(0, attempt - DRAWS)
@@ -195,7 +194,7 @@ def surrogate(kind: str, form: str, gender: str, attempt: int, secret: bytes, sy
     if letters not in MIDDLES:
         return _alike(form, draw) + _alike(form[-1:] * longer, draw)
     heads, tails = NAME_PARTS[letters, gender or "n"]
-    between = [MIDDLES[letters][next(draw) % len(MIDDLES[letters])] for _ in range(syllables + attempt // 4)]
+    between = [MIDDLES[letters][next(draw) % len(MIDDLES[letters])] for _ in range(SYLLABLES + attempt // 4)]
     return "".join([heads[next(draw) % len(heads)], *between, tails[next(draw) % len(tails)]]).casefold()
 
 
@@ -241,14 +240,13 @@ def assign(found: DataFrame, secret: bytes, most: int = 60) -> DataFrame:
     @F.pandas_udf("string")
     def draw(kind: pd.Series, form: pd.Series, gender: pd.Series, attempt: pd.Series) -> pd.Series:
         release()
-        return pd.Series([surrogate(k, f, g, a, secret, room) for k, f, g, a in zip(kind, form, gender, attempt, strict=True)], dtype=object)
+        return pd.Series([surrogate(k, f, g, a, secret) for k, f, g, a in zip(kind, form, gender, attempt, strict=True)], dtype=object)
 
     # names of all scripts share one space, so that a name is never two people
     space = F.split("kind", "-").getItem(0)
     votes = found.groupBy("kind", "form").agg(F.sum("m").alias("m"), F.sum("f").alias("f"))
     gender = F.when(F.col("m") > F.col("f"), "m").when(F.col("f") > F.col("m"), "f").otherwise("")
     known = stage(votes.select("kind", "form", gender.alias("gender"), space.alias("space")), "entities")
-    room = middles(known.where("space = 'name'").count())
     originals = known.select("space", F.col("form").alias("new")).distinct()
     left, done = known.withColumn("attempt", F.lit(0)), None
     for attempt in range(most):
