@@ -115,15 +115,17 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray, int]], *, least: int = 10, clea
 def train(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: str = "text", quality: str = "quality", toxic: str | None = "toxic", max_rows: int = 10_000) -> Model:
     """Fit on at most about ``max_rows`` labelled documents: those whose id's hash is low enough.
 
-    Good is quality 1 and, where there is such a column, toxic 0. Only hashed words
-    and shapes of those documents reach the driver.
+    Good is quality 1 and, where there is such a column, toxic 0. Of documents that
+    share an id the one with the least text counts. Only hashed words and shapes of
+    those documents reach the driver.
     """
     good = (F.col(quality) == 1) & (F.coalesce(F.col(toxic), F.lit(0)) == 0 if toxic else F.lit(True))
     known = labels.where(F.col(doc_id).isNotNull() & F.col(quality).isNotNull()).groupBy(F.col(doc_id).alias("_id")).agg(F.min(good.cast("int")).alias("_good"))
     share = max_rows / max(1, known.count())
     lot = F.pmod(F.xxhash64("_id"), F.lit(1 << 40)) / float(1 << 40)
     some = known.where(lot < share) if share < 1 else known  # about ``max_rows`` rows, so broadcast
-    picked = docs.select(F.col(doc_id).alias("_id"), F.col(text).alias("_text")).join(F.broadcast(some), "_id").select("_text", "_good")
+    picked = docs.select(F.col(doc_id).alias("_id"), F.col(text).alias("_text")).join(F.broadcast(some), "_id")
+    picked = picked.groupBy("_id").agg(F.min("_text").alias("_text"), F.first("_good").alias("_good")).select("_text", "_good")
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         release()

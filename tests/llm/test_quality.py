@@ -79,3 +79,13 @@ def test_clashing_names_repeated_rows_and_empty_tables(spark):
     assert rated.columns == [*docs.columns, "evidence_", "host_posterior", "path_posterior", "posterior_", "kept_"] and rated.count() == 4
     assert quality.keep_good(docs, labels).columns == docs.columns
     assert quality.keep_good(docs.limit(0), labels).count() == quality.keep_good(docs.limit(0), labels.limit(0)).count() == 0
+
+
+def test_repeated_ids_are_one_row_to_learn_from(spark):
+    """Rows that share a labelled id don't outweigh the others, nor reach the driver."""
+    rows = [(k, f"{'good' if k % 2 else 'bad'} text number {k}") for k in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(k, k % 2) for k in range(40)], "doc_id long, quality int")
+    more = docs.union(docs.where("doc_id = 1").crossJoin(spark.range(500)).select("doc_id", "text"))
+    once, often = (quality.train(d, labels, toxic=None) for d in (docs, more))
+    assert once.intercept == pytest.approx(often.intercept, abs=1e-3) and once.prior == often.prior
