@@ -35,6 +35,8 @@ BATCH = 256
 #: Columns of a unit's table: query, key, value, hidden.
 _Q, _K, _V, _X = (slice(a, b) for a, b in ((0, WIDTH), (WIDTH, 2 * WIDTH), (2 * WIDTH, 3 * WIDTH), (3 * WIDTH, 3 * WIDTH + HIDDEN)))
 FAR = np.float32(-1e9)
+#: Up to here exponentials neither overflow nor vanish in single precision.
+SAFE = 80.0
 
 Weights = dict[str, np.ndarray]
 
@@ -228,6 +230,8 @@ class Scorer:
         self.kv = np.concatenate([table[:, _K], table[:, _V], np.ones((UNITS + 1, 1), np.float32)], 1)  # the ones add up the attention's weights
         self.x = table[:, _X] + w["c"]
         self.bias = w["bias"] + _later
+        reach = np.linalg.norm(self.q, axis=1).max() * np.linalg.norm(self.kv[:, :WIDTH], axis=1).max() + np.abs(w["bias"]).max()
+        self.steep = bool(reach > SAFE)  # attention scores may overflow, or vanish all together
 
     def score(self, ids: np.ndarray, ends: np.ndarray, begin: int) -> np.ndarray:
         """Natural log probability of the classes of each document. ids: of all documents, one after the other; ends: where each ends; begin: the id before a first one."""
@@ -246,6 +250,8 @@ class Scorer:
             s = self.q.take(own, 0) @ kv[..., :WIDTH].transpose(0, 2, 1)
             s += self.bias
             s[b.opening[a:z], :, :SPAN] = FAR
+            if self.steep:
+                s -= s.max(-1, keepdims=True)
             np.exp(s, out=s)
             read = (s @ kv[..., WIDTH:]).reshape(-1, WIDTH + 1)
             h = (read[:, :WIDTH] / read[:, WIDTH:]) @ self.w["B"]
@@ -253,6 +259,8 @@ class Scorer:
             np.maximum(h, 0, out=h)
             y = h @ self.w["O"]
             y += self.w["o"]
+            if max(y.max(initial=0), -y.min(initial=0)) > SAFE:
+                y -= y.max(-1, keepdims=True)
             kinds = b.kinds[a:z].ravel()
             hit = y[np.arange(len(y)), kinds]
             np.exp(y, out=y)

@@ -57,6 +57,8 @@ class Words(dict):
         import xxhash
 
         own = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks={t: i for i, t in enumerate(tokens)}, special_tokens={})
+        if max(end, own.n_vocab - 1) >= 1 << 16:
+            raise ValueError("ids are kept as 16 bits; the vocabulary is larger")
         self.encode, self.end, self.digest = own.encode_ordinary, end, xxhash.xxh64_intdigest
         self.spaced = np.array([t[:1] == b" " for t in tokens])
         self.reset()

@@ -257,6 +257,11 @@ def test_model_probabilities_sum_to_one_and_gradients_hold():
     assert np.exp(np.array(last) - scorer.score(context, np.array([40]), 299)[0]).sum() == pytest.approx(1, abs=1e-3)
     both = scorer.score(np.concatenate([context, context[:7]]), np.array([40, 47, 47]), 299)
     assert both[0] == pytest.approx(scorer.score(context, np.array([40]), 299)[0], rel=1e-5) and both[2] == 0
+    large = {k: v * np.float32(300) for k, v in w.items()}  # weights that overflow without care, and vanish
+    assert np.isfinite(attention.Scorer(large, voc).score(context, np.array([40]), 299)).all()
+    assert attention.Scorer(large, voc).steep and not scorer.steep
+    moved = {**w, "o": w["o"] + np.float32(500)}
+    assert attention.Scorer(moved, voc).score(context, np.array([40]), 299)[0] == pytest.approx(scorer.score(context, np.array([40]), 299)[0], rel=1e-4)
     w = {k: v.astype(float) for k, v in w.items()}
     units, kinds = rng.integers(0, attention.UNITS, (3, 32)), rng.integers(-1, attention.CLASSES, (3, 16))
     units[0, :16] = attention.UNITS
