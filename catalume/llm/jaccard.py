@@ -7,8 +7,10 @@ filter completes the links: of two sets that are that much alike, each has one o
 other's shingles among its first ``n - ceil(0.8 n) + 1`` in any order that all sets
 share, and the first one that they share stands so early in both that enough can
 follow it. The order is by how many texts have a shingle, rare first; counts by bucket
-of hashes serve for that, as only the order must be the same for all. Equal sets are
-folded first; what SimHash left apart is held against the most typical text, and only
+of hashes serve for that, as only the order must be the same for all. The more texts
+there are, the less such a count says about one shingle, so those that turn out to
+stand early in many texts are put behind all others, and the texts that had them early
+get new first ones. Equal sets are folded first; what SimHash left apart is held against the most typical text, and only
 texts that aren't linked by then are paired. No link between different texts is lost.
 """
 
@@ -19,6 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -29,6 +32,8 @@ from catalume.llm.simhash import SEED, components
 WIDTH, LEAST = 5, 0.8
 #: Buckets of shingle hashes, counted to tell rare from frequent.
 BUCKETS = 1 << 16
+#: A shingle that so many different texts, not all linked, have early is put last in the order.
+CROWDED = 8
 #: Words that a task remembers.
 CACHE = 200_000
 #: Bits of the sieve that tells most shingles of one text from those of several; its size doesn't grow with the data.
@@ -62,8 +67,13 @@ class Shingles:
         return np.unique(out)
 
 
-def _bucket(shingles: np.ndarray) -> np.ndarray:
-    return (shingles >> np.uint64(48)).astype(np.int64)
+def _bucket(shingles: np.ndarray, buckets: int) -> np.ndarray:
+    return ((shingles >> np.uint64(48)) % np.uint64(buckets)).astype(np.int64)
+
+
+def _prefix(shingles: np.ndarray, least: float, *ranks: np.ndarray) -> np.ndarray:
+    """The shingles of which one at least is in every set that is alike, in the order of the last of ``ranks``, then the one before it, then the hashes."""
+    return shingles[np.lexsort((shingles, *ranks))[: len(shingles) - math.ceil(least * len(shingles) - 1e-9) + 1]]
 
 
 def alike(a: np.ndarray, b: np.ndarray, least: float) -> bool:
@@ -72,27 +82,26 @@ def alike(a: np.ndarray, b: np.ndarray, least: float) -> bool:
     return both >= least * (len(a) + len(b) - both) - 1e-9
 
 
-def _popularity(rows: DataFrame, width: int) -> np.ndarray:
+def _popularity(rows: DataFrame, width: int, buckets: int) -> np.ndarray:
     """How many texts have shingles of each bucket. Its size is fixed."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         release()
-        own, total = Shingles(width), np.zeros(BUCKETS, np.int64)
+        own, total = Shingles(width), np.zeros(buckets, np.int64)
         for batch in batches:
             for value in batch.column(0):
-                np.add.at(total, _bucket(own(value.as_py())), 1)
+                np.add.at(total, _bucket(own(value.as_py()), buckets), 1)
         met = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(met), pa.array(total[met])], ["bucket", "n"])
 
     got = rows.select("text").mapInArrow(count, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toPandas()
-    out = np.zeros(BUCKETS, np.int64)
+    out = np.zeros(buckets, np.int64)
     out[got["bucket"].to_numpy(np.int64)] = got["n"].to_numpy(np.int64)
     return out
 
 
-def _described(rows: DataFrame, width: int, least: float) -> DataFrame:
+def _described(rows: DataFrame, shared: Broadcast[np.ndarray], width: int, least: float) -> DataFrame:
     """(row, name, size, digest, code, fp, typical, prefix) of each row: code is a part of the digest, fp the SimHash, typical the mean logarithm of the shingles' popularity."""
-    shared = rows.sparkSession.sparkContext.broadcast(_popularity(rows, width))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
@@ -103,13 +112,12 @@ def _described(rows: DataFrame, width: int, least: float) -> DataFrame:
             size, digest, prints, typical, prefix = [], [], [], [], []
             for value in batch.column(2):
                 s = own(value.as_py())
-                n = popular[_bucket(s)]
-                first = np.lexsort((s, n))[: len(s) - math.ceil(least * len(s) - 1e-9) + 1]
+                n = popular[_bucket(s, len(popular))]
                 size.append(len(s))
                 digest.append(xxhash.xxh3_128_digest(s.tobytes()))
                 prints.append(simhash.majority(len(s), [s]))
                 typical.append(float(np.log2(n).mean()) if len(s) else 0.0)
-                prefix.append(s[first].view(np.int64))
+                prefix.append(_prefix(s, least, n).view(np.int64))
             yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(size, pa.int64()), pa.array(digest, pa.binary()), pa.array(np.array([int.from_bytes(x[:8]) for x in digest], np.uint64).view(np.int64)), pa.array(np.array(prints, np.uint64).view(np.int64)), pa.array(typical, pa.float64()), pa.array(prefix, pa.list_(pa.int64()))], ["row", "name", "size", "digest", "code", "fp", "typical", "prefix"])
 
     kind = rows.schema["name"].dataType.simpleString()
@@ -146,23 +154,69 @@ def _verified(pairs: DataFrame, rows: DataFrame, width: int, least: float) -> Da
     return alike_pairs
 
 
-def _sieved(found: DataFrame, shared: DataFrame) -> DataFrame:
-    """(row, pos, key) of the prefixes in ``found`` for all keys that are ``shared``, and few others: what a bitmap of fixed size lets through."""
+def _bitmap(keys: DataFrame) -> Broadcast[np.ndarray]:
+    """A bitmap of fixed size with the bits of all ``keys`` (key) set."""
     word = F.shiftrightunsigned(F.col("key").bitwiseAND(F.lit(BITS - 1).cast("long")), 6)
     bit = F.expr("bit_or(shiftleft(1L, CAST(key & 63 AS INT)))")
-    got = shared.groupBy(word.alias("word")).agg(bit.alias("bits")).toArrow()  # at most BITS / 64 rows
+    got = keys.groupBy(word.alias("word")).agg(bit.alias("bits")).toArrow()  # at most BITS / 64 rows
     bits = np.zeros(BITS // 64, np.uint64)
     bits[got.column("word").to_numpy()] = got.column("bits").to_numpy().view(np.uint64)
-    sieve = found.sparkSession.sparkContext.broadcast(bits)
+    return keys.sparkSession.sparkContext.broadcast(bits)
+
+
+def _has(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Which of ``keys`` a bitmap lets through: 1 or 0 of each."""
+    place = keys.view(np.uint64) & np.uint64(BITS - 1)
+    return bits[place >> np.uint64(6)] >> (place & np.uint64(63)) & np.uint64(1)
+
+
+def _holding(found: DataFrame, last: Broadcast[np.ndarray]) -> DataFrame:
+    """The (row) of those in ``found`` that have a key of the bitmap ``last`` in their prefix."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
+        for batch in batches:
+            at = np.flatnonzero(_has(last.value, batch.column(1).flatten().to_numpy()))
+            row = np.unique(np.searchsorted(batch.column(1).offsets.to_numpy(), at, side="right") - 1)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row))], ["row"])
+
+    return found.select("row", "prefix").mapInArrow(run, "row long")
+
+
+def _reordered(rows: DataFrame, shared: Broadcast[np.ndarray], last: Broadcast[np.ndarray], width: int, least: float) -> DataFrame:
+    """(row, prefix, added) of each of ``rows``, with the keys of the bitmap ``last`` behind all others; added are those of the prefix that come new into it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
+        popular, own = shared.value, Shingles(width)
+        for batch in batches:
+            prefix, added = [], []
+            for value in batch.column(1):
+                s = own(value.as_py())
+                n = popular[_bucket(s, len(popular))]
+                now = _prefix(s, least, n, _has(last.value, s))
+                prefix.append(now.view(np.int64))
+                added.append(np.setdiff1d(now, _prefix(s, least, n), assume_unique=True).view(np.int64))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(prefix, pa.list_(pa.int64())), pa.array(added, pa.list_(pa.int64()))], ["row", "prefix", "added"])
+
+    return stage(rows.select("row", "text").mapInArrow(run, "row long, prefix array<long>, added array<long>"), "reordered")
+
+
+def _sieved(found: DataFrame, shared: DataFrame, but: Broadcast[np.ndarray] | None = None) -> DataFrame:
+    """(row, pos, key) of the prefixes in ``found`` for all keys that are ``shared``, and few others: what a bitmap of fixed size lets through. Prefixes with a key of the bitmap ``but`` are left out."""
+    sieve = _bitmap(shared)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         release()
         for batch in batches:
             ends = batch.column(1).offsets.to_numpy()
             keys = batch.column(1).flatten().to_numpy()
-            place = keys.view(np.uint64) & np.uint64(BITS - 1)
-            at = np.flatnonzero(sieve.value[place >> np.uint64(6)] >> (place & np.uint64(63)) & np.uint64(1))
+            at = np.flatnonzero(_has(sieve.value, keys))
             row = np.searchsorted(ends, at, side="right") - 1
+            if but is not None:
+                out = np.zeros(batch.num_rows, bool)
+                out[np.searchsorted(ends, np.flatnonzero(_has(but.value, keys)), side="right") - 1] = True
+                at, row = at[~out[row]], row[~out[row]]
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row)), pa.array((at - ends[row]).astype(np.int32)), pa.array(keys[at])], ["row", "pos", "key"])
 
     return found.select("row", "prefix").mapInArrow(run, "row long, pos int, key long")
@@ -174,13 +228,14 @@ def _grouped(rows: DataFrame, links: DataFrame) -> DataFrame:
     return rows.join(group, "row", "left").withColumn("group", F.coalesce("group", "row"))
 
 
-def near_copies(rows: DataFrame, *, width: int = WIDTH, least: float = LEAST) -> DataFrame:
+def near_copies(rows: DataFrame, *, width: int = WIDTH, least: float = LEAST, buckets: int = BUCKETS, crowded: int = CROWDED) -> DataFrame:
     """(row, first) for each of ``rows`` (row, name, text): the row of its group of linked texts that has the least name, then the least row.
 
     Null names come last. Texts without words are equal. ``rows`` are read several
     times and joined by ``row``; best they lie in buckets of it (``shelve``).
     """
-    found = _described(rows, width, least)
+    popular = rows.sparkSession.sparkContext.broadcast(_popularity(rows, width, buckets))
+    found = _described(rows, popular, width, least)
     order = F.struct(F.col("name").isNull().alias("unnamed"), "name", "row")
     folded = stage(found.groupBy("digest").agg(F.min(order).alias("at")), "folded")
     single = found.join(folded.select(F.col("at.row").alias("row")), "row", "left_semi")
@@ -195,8 +250,14 @@ def near_copies(rows: DataFrame, *, width: int = WIDTH, least: float = LEAST) ->
     # the shingles that several texts have early: only keys travel, then the few rows that have one of them
     keys = found.select("code", F.explode("prefix").alias("key")).groupBy("key").agg(F.min("code").alias("low"), F.max("code").alias("high"))
     shared = stage(keys.where("low <> high").select("key"), "shared")
-    filed = _sieved(found, shared).join(shared, "key", "left_semi")
     grouped = stage(_grouped(facts.drop("fp"), hashed), "grouped")
+    # those that many have early go to the end of the order; other prefixes stay as they are, as they have none of these
+    counted = _sieved(found, shared).join(grouped.select("row", "group"), "row").groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("group").alias("low"), F.max("group").alias("high"))
+    last = _bitmap(counted.where((F.col("n") >= crowded) & (F.col("low") != F.col("high"))).select("key"))
+    moved = stage(_holding(found, last).join(facts, "row", "left_semi"), "moved")
+    anew = _reordered(rows.join(moved.hint("shuffle_hash"), "row", "left_semi"), popular, last, width, least)
+    early = stage(shared.union(anew.select(F.explode("added").alias("key"))).distinct(), "early")
+    filed = _sieved(found, early, but=last).union(_sieved(anew, early)).join(early, "key", "left_semi")
     filed = stage(filed.join(grouped, "row"), "filed")  # of copies, the one that stands for them
     mixed = filed.groupBy("key").agg(F.min("group").alias("low"), F.max("group").alias("high")).where("low <> high").select("key")
     met = stage(filed.join(mixed, "key", "left_semi"), "met")
@@ -221,7 +282,7 @@ def near_copies(rows: DataFrame, *, width: int = WIDTH, least: float = LEAST) ->
     rooted = folded.join(roots, F.col("at.row") == F.col("node"), "left").select("digest", "at", F.coalesce("root", "at.row").alias("root"))
     named = rooted.groupBy("root").agg(F.min("at").alias("least")).select("root", F.col("least.row").alias("first"))
     out = stage(found.select("row", "digest").join(rooted.join(named, "root").select("digest", "first"), "digest").select("row", "first"), "firsts")
-    discard(found, folded, facts, least_of, shared, grouped, filed, met, stars, apart, pairs, roots)
+    discard(found, folded, facts, least_of, shared, moved, anew, early, grouped, filed, met, stars, apart, pairs, roots)
     return out
 
 

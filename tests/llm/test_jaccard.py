@@ -50,3 +50,24 @@ def test_chains_and_common_passages(spark):
         rows += [(2 * k, " ".join(text)), (2 * k + 1, " ".join(passage + [word() for _ in range(20)]))]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     assert {r.doc_id for r in jaccard.keep_one(docs).collect()} == brute(rows)
+
+
+def test_a_passage_of_many_texts_makes_few_pairs(spark, monkeypatch):
+    """Where counts of buckets say nothing (one bucket for all), texts aren't paired by a passage that many have."""
+    rng = random.Random(7)
+    word = lambda: f"w{rng.randrange(90_000)}"
+    passage, rows = [word() for _ in range(100)], []
+    for k in range(60):
+        text = passage + [word() for _ in range(300)]
+        rows.append((len(rows), " ".join(text)))
+        if k % 6 == 0:  # some linked, some just not
+            for i in rng.sample(range(400), 5 + k // 4):
+                text[i] = word()
+            rows.append((len(rows), " ".join(text)))
+    made, stage = [], jaccard.stage
+    monkeypatch.setattr(jaccard, "stage", lambda df, name: (out := stage(df, name), name == "pairs" and made.append(out.count()))[0])
+    texts = spark.createDataFrame([(i, i, t) for i, t in rows], "row long, name long, text string")
+    kept = {r.row for r in jaccard.near_copies(texts, buckets=1).where("row = first").collect()}
+    as_before = {r.row for r in jaccard.near_copies(texts, buckets=1, crowded=10**9).where("row = first").collect()}
+    assert kept == as_before == brute(rows) and 60 < len(kept) < 70
+    assert made[0] <= len(rows) < 1000 < made[1]
