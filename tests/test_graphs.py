@@ -40,7 +40,7 @@ def test_nothing_is_shuffled_behind_the_graphs(spark, name):
     assert "MapInArrow" in plan and "Exchange" not in plan[: plan.index("MapInArrow")]
 
 
-@pytest.mark.parametrize("name", ["g7_remove_isolated", "g9_overlap_graph"])
+@pytest.mark.parametrize("name", ["g7_remove_isolated", "g8_remove_tails", "g9_overlap_graph"])
 def test_lists_join_recipes_and_not_unions(spark, name):
     """Two joins make the unions; lists and graphs of recipes are joined before."""
     plan = queries.QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
