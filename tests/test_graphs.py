@@ -34,7 +34,7 @@ def test_graphs_in_rows_equal_tables_of_edges(spark, rows):
         _same(g.reachable_in_graphs(starts, "k", directed=directed), g.reachable(edges, starts.select("k", F.explode("starts").alias("start")), "k", directed=directed).select("k", "start", "node"))
 
 
-@pytest.mark.parametrize("name", ["g4_undirected", "g5_degrees", "g6_reachable_either_way", "g10_node_roles"])
+@pytest.mark.parametrize("name", ["g4_undirected", "g5_degrees", "g6_reachable", "g6_reachable_either_way", "g10_node_roles"])
 def test_nothing_is_shuffled_behind_the_graphs(spark, name):
     plan = queries.QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert "MapInArrow" in plan and "Exchange" not in plan[: plan.index("MapInArrow")]
