@@ -1,5 +1,8 @@
 """What is shuffled grows with the recipes, not with what they are compared by."""
 
+from pyspark.sql import functions as F
+
+from catalume.operators import similarity as j
 from catalume.plans import queries
 
 SF = "/root/testdata/sf0.001"
@@ -12,3 +15,13 @@ def _plan(spark, name):
 def test_matches_are_found_where_the_pairs_lie(spark):
     plan = _plan(spark, "j3_best_match")
     assert "MapInArrow" in plan and "Exchange" not in plan[: plan.index("MapInArrow")]
+
+
+def test_pairs_of_recipes_are_dealt_by_tiles(spark):
+    """However few bytes the recipes have, their pairs aren't the work of one task; each pair once, by order."""
+    recipes = spark.range(120).select(F.concat(F.lit("S"), F.col("id").cast("string")).alias("recipe_id"), (F.col("id") * 7 % 120).alias("ord")).coalesce(1)
+    pairs = j.recipe_pairs(recipes, block=20)
+    assert pairs.select(F.spark_partition_id()).distinct().count() > 6
+    order = {f"S{x}": x * 7 % 120 for x in range(120)}
+    got = [tuple(r) for r in pairs.collect()]
+    assert len(got) == len(set(got)) == 120 * 119 // 2 and all(order[a] < order[b] for a, b in got)
