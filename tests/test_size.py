@@ -1,5 +1,6 @@
 """What is shuffled grows with the recipes, not with what they are compared by."""
 
+import pytest
 from pyspark.sql import functions as F
 
 from catalume.operators import similarity as j
@@ -17,6 +18,13 @@ def test_matches_are_found_where_the_pairs_lie(spark):
     assert "MapInArrow" in plan and "Exchange" not in plan[: plan.index("MapInArrow")]
 
 
+@pytest.mark.parametrize("name", ["j2_directed_similarity"])
+def test_tiles_are_read_and_not_shuffled(spark, name):
+    """Blocks of recipes are written once; tiles read them."""
+    plan = _plan(spark, name)
+    assert "MapInArrow" in plan and "hashpartitioning" not in plan
+
+
 def test_pairs_of_recipes_are_dealt_by_tiles(spark):
     """However few bytes the recipes have, their pairs aren't the work of one task; each pair once, by order."""
     recipes = spark.range(120).select(F.concat(F.lit("S"), F.col("id").cast("string")).alias("recipe_id"), (F.col("id") * 7 % 120).alias("ord")).coalesce(1)
