@@ -18,7 +18,7 @@ def test_matches_are_found_where_the_pairs_lie(spark):
     assert "MapInArrow" in plan and "Exchange" not in plan[: plan.index("MapInArrow")]
 
 
-@pytest.mark.parametrize("name", ["j2_directed_similarity", "j4_similarity"])
+@pytest.mark.parametrize("name", ["j2_directed_similarity", "j4_similarity", "j5_score_all"])
 def test_tiles_are_read_and_not_shuffled(spark, name):
     """Blocks of recipes are written once; tiles read them."""
     plan = _plan(spark, name)
