@@ -33,3 +33,26 @@ def test_pairs_of_recipes_are_dealt_by_tiles(spark):
     order = {f"S{x}": x * 7 % 120 for x in range(120)}
     got = [tuple(r) for r in pairs.collect()]
     assert len(got) == len(set(got)) == 120 * 119 // 2 and all(order[a] < order[b] for a, b in got)
+
+
+def _held(monkeypatch):
+    """The columns of every table that is written in between, by name."""
+    from catalume.operators import threshold as th
+
+    seen, write = [], th.stage
+    monkeypatch.setattr(th, "stage", lambda df, name: (seen.append((name, df)), write(df, name))[1])
+    return seen
+
+
+def _joins_profiles_last(df):
+    """Whether the pairs of a table are scored without another exchange between their meeting and the scoring."""
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    return "MapInArrow" in plan and "Aggregate" not in plan[plan.index("MapInArrow") : plan.index("Join")]
+
+
+@pytest.mark.parametrize(("name", "tables"), [("j8_strong_edges", 1)])
+def test_pairs_are_scored_where_their_postings_meet(spark, monkeypatch, name, tables):
+    seen = _held(monkeypatch)
+    queries.QUERIES[name](spark, SF)
+    met = [df for what, df in seen if what == "met"]
+    assert len(met) >= tables and all(df.columns == ["a", "b", "score"] and _joins_profiles_last(df) for df in met)
