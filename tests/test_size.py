@@ -50,9 +50,25 @@ def _joins_profiles_last(df):
     return "MapInArrow" in plan and "Aggregate" not in plan[plan.index("MapInArrow") : plan.index("Join")]
 
 
-@pytest.mark.parametrize(("name", "tables"), [("j8_strong_edges", 1)])
+@pytest.mark.parametrize(("name", "tables"), [("j8_strong_edges", 1), ("j6_find_similar", 2)])
 def test_pairs_are_scored_where_their_postings_meet(spark, monkeypatch, name, tables):
     seen = _held(monkeypatch)
     queries.QUERIES[name](spark, SF)
     met = [df for what, df in seen if what == "met"]
     assert len(met) >= tables and all(df.columns == ["a", "b", "score"] and _joins_profiles_last(df) for df in met)
+
+
+def test_nearest_keeps_ties_among_the_best(spark):
+    """Many equal scores, of which the earliest in order count, though batches keep only a shape's best."""
+    from catalume.operators import hierarchy as h
+    from catalume.operators import threshold as th
+
+    up = {"r": None} | {f"r.{x}": "r" for x in range(3)} | {f"r.{x}.{y}": f"r.{x}" for x in range(3) for y in range(9)}
+    leaves = sorted(n for n in up if n.count(".") == 2)
+    lines = [(str(r), leaves[(r * s) % 27]) for r in range(90) for s in (1, 2, 5)]
+    nodes = spark.createDataFrame([(n, a, "Liquor") for n, a in up.items()], "node_id string, parent_id string, kind string")
+    recipes = spark.createDataFrame([(str(r), r * 31 % 97) for r in range(90)], "recipe_id string, ord long")
+    table, paths = spark.createDataFrame(lines, "recipe_id string, node_id string"), h.lineage_paths(nodes)
+    asked = recipes.where("ord % 4 = 0")
+    got = {tuple(r) for r in th.nearest(asked, recipes, table, nodes, paths, k=4).collect()}
+    assert got == {tuple(r) for r in j.find_similar(asked, recipes, table, nodes, paths, k=4).collect()}
