@@ -72,3 +72,19 @@ def test_nearest_keeps_ties_among_the_best(spark):
     asked = recipes.where("ord % 4 = 0")
     got = {tuple(r) for r in th.nearest(asked, recipes, table, nodes, paths, k=4).collect()}
     assert got == {tuple(r) for r in j.find_similar(asked, recipes, table, nodes, paths, k=4).collect()}
+
+
+def test_shared_edges_are_those_of_the_candidates(spark, monkeypatch):
+    """Each pair once, though most share several ancestors and blocks are small; no pair is shuffled behind the scoring."""
+    from catalume.sources.catalog import OrderCatalog
+    from catalume.operators import hierarchy as h
+
+    monkeypatch.setattr(j, "CROWD", 40)
+    t = OrderCatalog(spark, SF)
+    paths, lines = h.lineage_paths(t.nodes), t.lines.where("CAST(recipe_id AS INT) < 260")
+    want = j.similarity_edges(j.candidate_pairs(lines, t.nodes, paths, 3), lines, t.nodes, paths)
+    found = j.shared_edges(lines, t.nodes, paths, 3)
+    rounded = lambda df: sorted((r.r1, r.r2, round(r.score, 12), round(r.weight, 9)) for r in df.collect())
+    assert rounded(found) == rounded(want)
+    plan = _plan(spark, "j8_similarity_edges")
+    assert "Exchange" not in plan[: plan.index("CoGroup")]
